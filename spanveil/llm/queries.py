@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from spanveil.llm.common import table
+from spanveil.llm.licenses import by_document, scan_licenses
 from spanveil.llm.linededup import line_dedup
 from spanveil.llm.media import media_columns
 from spanveil.llm.mixing import mix_sources
 from spanveil.llm.neardup import near_duplicates
 from spanveil.llm.quality import quality_rules
+from spanveil.llm.segment import sample_segmentations
 from spanveil.llm.sharding import shard_rows
+from spanveil.llm.toxicity import score_toxicity
 from spanveil.llm.urlfilter import judge_urls
 
 
@@ -24,6 +27,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("first_failed")
 
 
+def op4_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,6 +39,10 @@ def op6_feistel_shards(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return by_document(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,7 +51,25 @@ def op9_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_media_columns, op3_quality_rules, op5_mix_sources, op6_feistel_shards, op8_line_dedup, op9_url_filter)}
+def op10_sentencepiece(spark, sf_dir):
+    return sample_segmentations(table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_media_columns,
+        op3_quality_rules,
+        op4_toxicity,
+        op5_mix_sources,
+        op6_feistel_shards,
+        op7_license_scan,
+        op8_line_dedup,
+        op9_url_filter,
+        op10_sentencepiece,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
