@@ -48,7 +48,7 @@ class WordHash(dict):
     """Word -> 64-bit hash, kept for the words that were seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,16 +106,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each signature."""
+    parts = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mix(key * BASE + parts[:, :, k])
+    return key
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
-            sig = _matrix(part.column("sig")).astype(np.uint64).reshape(part.num_rows, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
-            for k in range(ROWS):
-                key = mix(key * BASE + sig[:, :, k])
+            key = band_keys(_matrix(part.column("sig")))
             ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), ids], ["key", "doc_id"])
+            band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows))
+            yield pa.RecordBatch.from_arrays([band, pa.array(key.astype(np.int64).ravel()), ids], ["band", "key", "doc_id"])
 
 
 @lru_cache
@@ -186,26 +193,43 @@ def _verify(percent: int, width: int):
     return run
 
 
-def _blocks(threshold: float, miss: float):
-    """All pairs of a block of outliers and a block of members that lie in different components."""
+def _blocks(percent: int, width: int, miss: float):
+    """Links between a block of outliers and a block of members of a bucket that lie in different components. A pair that shares
+    several bands is compared in the first of these alone; what the signatures can't rule out is verified on the full sets."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        side = np.array(group.column("outlier").to_pylist(), bool)
-        ids, comp = group.column("doc_id"), group.column("comp").to_pylist()
+        side = group.column("outlier").to_numpy(zero_copy_only=False).astype(bool)
+        ids, comp, text = group.column("doc_id"), group.column("comp").to_pylist(), group.column("text")
+        band = group.column("band")[0].as_py()
         names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
         code = np.array([names[c] for c in comp])
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(code), HASHES)
-        out, members = np.flatnonzero(side), np.flatnonzero(~side)
-        left, right, count = [], [], []
-        for o in out:
-            other = members[code[members] != code[o]]
-            if len(other):
-                alive, matches = surviving(np.broadcast_to(sig[o], (len(other), HASHES)), sig[other], threshold, miss)
-                left += [o] * len(alive)
-                right += other[alive].tolist()
-                count += matches.tolist()
-        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64())), "matches": pa.array(count, pa.int64())})
+        keys = band_keys(sig)[:, : band + 1]
+        members = np.flatnonzero(~side)
+        cache, sets, left, right = WordHash(), {}, [], []
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(text[i].as_py(), cache, width)
+            return sets[i]
+
+        for o in np.flatnonzero(side):
+            other = members[(code[members] != code[o]) & ((keys[members] == keys[o]).argmax(axis=1) == band)]
+            if not len(other):
+                continue
+            alive, _ = surviving(np.broadcast_to(sig[o], (len(other), HASHES)), sig[other], percent / 100, miss)
+            if not len(alive):
+                continue
+            x, near = of(o), other[alive]
+            every, owner = np.concatenate([of(i) for i in near]), np.repeat(np.arange(len(near)), [len(of(i)) for i in near])
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            both = np.bincount(owner[x[at] == every], minlength=len(near))
+            union = len(x) + np.bincount(owner, minlength=len(near)) - both
+            hit = near[100 * both >= percent * union]
+            left += [o] * len(hit)
+            right += hit.tolist()
+        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
 
     return run
 
@@ -291,6 +315,9 @@ class _Links:
         """Verify surviving pairs (a, b, matches) and merge. First each document's likeliest link to one before it, in the
         order of a hash: no cycles, one set comparison a document; then whatever still links two components."""
         found = saved(found, "found")
+        if found.isEmpty():
+            forget(found)
+            return
         order = found.withColumn("first", F.xxhash64("a") < F.xxhash64("b")).select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("a"), "matches")
         best = order.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         self.merge(self.exactly(best))
@@ -301,7 +328,7 @@ class _Links:
         forget(found)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: int = 4, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text, ...).
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id),
@@ -320,30 +347,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
     classes = saved(whole.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "print")
     sigs = saved(whole.select("doc_id", "print", "sig").join(reps, ["doc_id", "print"], "left_semi").select("doc_id", "sig").distinct(), "sigs")
-    members = saved(sigs.mapInArrow(_bands, f"key bigint, doc_id {kind}"), "bands")
-
-    links = _Links(sigs, docs, percent, width, miss)
-    for k in range(rounds):
-        seen = members if k == 0 else links.with_comp(members)
-        seen = seen.withColumn("comp", F.col("doc_id")) if k == 0 else seen
+    bands = saved(sigs.mapInArrow(_bands, f"band int, key bigint, doc_id {kind}"), "bands")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    members = saved(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id"), "members")
+    forget(bands)
+
+    # The first rounds take few bands, which connect most of a group; the others then meet few components.
+    links = _Links(sigs, saved(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts"), percent, width, miss)
+    left, done = None, 0
+    for k, upto in enumerate(rounds):
+        new = members.where((F.col("band") >= done) & (F.col("band") < upto))
+        seen = links.with_comp(new if left is None else left.unionByName(new) if upto > done else left)
+        done = upto
         order = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("of"))
-        buckets = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("p"), F.max(order).alias("q")).where("lo < hi")
-        met = saved(seen.join(buckets.select("key", "p", "q"), "key").select("key", "doc_id", "comp", F.col("p.id").alias("p"), F.col("p.of").alias("pc"), F.col("q.id").alias("q"), F.col("q.of").alias("qc")), "met")
-        forget(members)
-        if met.isEmpty():
-            forget(met)
+        buckets = seen.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("p"), F.max(order).alias("q")).where("lo < hi")
+        met = saved(seen.join(buckets.select("band", "key", "p", "q"), ["band", "key"]).select("band", "key", "doc_id", "comp", F.col("p.id").alias("p"), F.col("p.of").alias("pc"), F.col("q.id").alias("q"), F.col("q.of").alias("qc")), "met")
+        forget(left)
+        if met.isEmpty() and done == BANDS:
+            left = met.select("band", "key", "doc_id")
+            left._saved_path = met._saved_path
             break
         pairs = met.select("doc_id", "comp", F.explode(F.array(F.struct(F.col("p").alias("x"), F.col("pc").alias("xc")), F.struct(F.col("q").alias("x"), F.col("qc").alias("xc")))).alias("o")).where("comp <> o.xc")
         pairs = pairs.select(F.least("doc_id", "o.x").alias("a"), F.greatest("doc_id", "o.x").alias("b")).distinct()
-        if k == 0:
-            near = met.select("doc_id").distinct()
-            links.texts = saved(docs.join(near, "doc_id", "left_semi"), "texts")
         links.take(links.candidates(pairs))
-        members = saved(met.where("doc_id <> p and doc_id <> q").select("key", "doc_id"), "members")
+        left = saved(met.where("doc_id <> p and doc_id <> q").select("band", "key", "doc_id"), "left")
         forget(met)
     else:
-        _rest(links, members, block)
-        forget(members)
+        _rest(links, left, block)
+    forget(left)
+    forget(members)
 
     out = sketch.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     if links.comp is not None:
@@ -355,20 +387,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
 
 
 def _rest(links: _Links, members: DataFrame, block: int) -> None:
-    """Compare all pairs that are left in buckets of several components: outliers, which are outside the largest
-    component of their bucket, with all members, block by block."""
+    """Decide all pairs that are left in buckets of several components: outliers, which are outside the largest component of
+    their bucket, meet all members, block by block. Rows are members and outliers with the blocks they meet; no pair is a row
+    unless it is a link."""
     seen = saved(links.with_comp(members), "left")
-    parts = seen.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("key", "largest", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("no"))
-    seen2 = saved(seen.join(sizes, "key"), "blocks")
+    parts = seen.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("band", "key", "largest", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("no"))
+    seen2 = saved(seen.join(sizes, ["band", "key"]), "blocks")
     if not seen2.isEmpty():
         h = F.xxhash64("doc_id", F.lit("block"))
-        as_member = seen2.select("key", "doc_id", "comp", F.lit(False).alias("outlier"), F.pmod(h, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ob"))
-        as_outlier = seen2.where("comp <> largest").select("key", "doc_id", "comp", F.lit(True).alias("outlier"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(h, "no").cast("int").alias("ob"))
-        rows = as_member.unionByName(as_outlier).join(links.sigs, "doc_id")
+        kept = ["band", "key", "doc_id", "comp"]
+        as_member = seen2.select(*kept, F.lit(False).alias("outlier"), F.pmod(h, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ob"))
+        as_outlier = seen2.where("comp <> largest").select(*kept, F.lit(True).alias("outlier"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(h, "no").cast("int").alias("ob"))
+        need = seen2.select("doc_id").distinct()
+        known = links.sigs.join(need, "doc_id", "left_semi").join(links.texts, "doc_id")
+        rows = as_member.unionByName(as_outlier).join(known, "doc_id")
         kind = dict(seen2.dtypes)["doc_id"]
-        found = rows.groupBy("key", "ob", "mb").applyInArrow(_blocks(links.percent / 100, links.miss), f"a {kind}, b {kind}, matches bigint")
-        links.take(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("matches").alias("matches")))
+        found = rows.groupBy("band", "key", "ob", "mb").applyInArrow(_blocks(links.percent, links.width, links.miss), f"a {kind}, b {kind}")
+        links.merge(found)
     forget(seen2)
     forget(seen)
