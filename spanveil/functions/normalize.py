@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanveil.functions.validators import compact_clock, only_digits
 
@@ -15,7 +16,7 @@ from spanveil.functions.validators import compact_clock, only_digits
 CURRENCY = "USD|RMB|CNY|EUR|GBP|美元|欧元|英镑|元|dollars?|yuan"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in batches:
         yield x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

@@ -40,10 +40,10 @@ def matches(df: DataFrame, key: str, text: str, recognizers) -> DataFrame:
     return df.select(key, "plain_text", F.concat(*every).alias("found"))
 
 
-def checked(found: Column) -> Column:
+def checked(found: Column, entities) -> Column:
     """Matches that pass their type's check with score 1, those without a check as they are; refused ones are gone."""
     fields = ("entity_type", "s", "e", "text")
-    judged = F.transform(found, lambda x: F.struct(*[x[n].alias(n) for n in fields], x["score"].alias("score"), checks.verdict(x["entity_type"], x["text"]).alias("ok")))
+    judged = F.transform(found, lambda x: F.struct(*[x[n].alias(n) for n in fields], x["score"].alias("score"), checks.verdict(x["entity_type"], x["text"], entities).alias("ok")))
     kept = F.filter(judged, lambda x: F.coalesce(x["ok"], F.lit(True)))
     return F.transform(kept, lambda x: F.struct(*[x[n].alias(n) for n in fields], F.when(x["ok"], 1.0).otherwise(x["score"]).alias("score")))
 
@@ -78,7 +78,7 @@ def analyze(df: DataFrame, key: str = "doc_id", text: str = "text", entities: tu
     chosen = [r for r in RECOGNIZERS if r[0] in entities] + list(extra)
     rows = matches(df, key, text, chosen)
     # Arrays in stages, then one generator: a filter on the rows can't be moved below and multiply the expressions.
-    rows = rows.withColumn("found", checked(F.col("found"))).withColumn("found", boosted(F.col("found"), chosen))
+    rows = rows.withColumn("found", checked(F.col("found"), {r[0] for r in chosen})).withColumn("found", boosted(F.col("found"), chosen))
     rows = rows.select(key, F.inline_outer("found")).where("s is not null")
     rows = contained_drop(rows, key, "score").where(F.col("score") >= threshold)
     if allow:
