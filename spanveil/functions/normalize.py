@@ -71,9 +71,12 @@ def amount(x: Column) -> Column:
     return F.regexp_extract(t, r"[0-9]+(?:\.[0-9]{2})?", 0)
 
 
+PUNCTUATION = r"[\s\-_.,，。:：;；/\\|()（）【】\[\]#]+"  # fixed value: what a compact form loses
+
+
 def compact(x: Column) -> Column:
     """Without punctuation and spaces, lower case if it has ASCII letters."""
-    t = F.regexp_replace(half_width(x), r"[\s\p{P}]", "")
+    t = F.regexp_replace(half_width(x), PUNCTUATION, "")
     return F.when(t.rlike("[A-Za-z]"), F.lower(t)).otherwise(t)
 
 

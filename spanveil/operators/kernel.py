@@ -164,7 +164,7 @@ def raised(text: str, spans: list[Span]) -> list[Span]:
 
 def resolve(spans: list[Span], taken: list[tuple[int, int]], protection: str) -> list[Span]:
     """Disjoint spans: plates first, then strength, containment (longer), names before others, position. ``taken`` are structured
-    spans; what starts or ends inside one of them and isn't an address around it is dropped."""
+    spans; what starts or ends inside one of them and isn't a plate or an address around it is dropped."""
     name_least, other_least = NEEDED[protection]
     good = [x for x in spans if x.strength >= (name_least if x.attr == "name" else other_least)]
     good.sort(key=lambda x: (x.attr != "license_plate", -x.strength, x.s - x.e, x.attr != "name", x.s))
@@ -172,7 +172,7 @@ def resolve(spans: list[Span], taken: list[tuple[int, int]], protection: str) ->
     for x in good:
         if any(x.s < o.e and o.s < x.e for o in out):
             continue
-        if x.attr != "address" and any(x.s < e and s < x.e for s, e in taken):
+        if x.attr not in ("address", "license_plate") and any(x.s < e and s < x.e for s, e in taken):
             continue
         if x.attr == "address" and any(s < x.s < e or s < x.e < e or (s <= x.s and x.e <= e) for s, e in taken):
             continue

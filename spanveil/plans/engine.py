@@ -17,11 +17,11 @@ from spanveil.streaming.sessions import allocate
 
 
 def detect_all(requests: DataFrame, protection: str) -> DataFrame:
-    """(doc_id, s, e, text, attr_type, canonical): structured entities that pass the gate, and the kernel's outside of them; an address
-    swallows the numbers that lie in it."""
+    """(doc_id, s, e, text, attr_type, canonical): structured entities that pass the gate, and the kernel's outside of them; an address or
+    plate swallows the numbers and codes that lie in it."""
     hard = candidates(requests.select("doc_id", "text")).where("emitted").select("doc_id", "s", "e", "text", "attr_type", "canonical")
     soft = detect(requests, protection=protection).select("doc_id", "s", "e", "text", "attr_type", normalize.canonical(F.col("attr_type"), F.col("text")).alias("canonical"))
-    a, b = hard.alias("a"), soft.where("attr_type = 'address'").alias("b")
+    a, b = hard.alias("a"), soft.where("attr_type in ('address', 'license_plate')").alias("b")
     outside = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.s") <= F.col("a.s")) & (F.col("a.e") <= F.col("b.e")), "left_anti")
     return outside.unionByName(soft)
 

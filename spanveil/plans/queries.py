@@ -484,9 +484,75 @@ def longest_rhythm_chain(spark, sf_dir):
     return joins.longest_chain(table(spark, sf_dir, "documents").select("source", "n_chars").distinct(), ["source"], "n_chars", 1, 40)
 
 
-@query(None)
+@query()
 def sanitize_documents(spark, sf_dir):
     """The flagship: every structured entity of every document as a placeholder that is stable within its source."""
     texts, rows = sanitized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     n = rows.groupBy("doc_id").agg(F.count("*").alias("n_entities"))
     return texts.join(n, "doc_id", "left").select("doc_id", "source", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "sanitized")
+
+
+# Kernel, sessions, personas and geometry on fixed cases: their expected rows are stated in SQL.
+CASES = (
+    (1, "815 Madison Ave", "815 Madison Ave", "address"),
+    (2, "798 SW 8th St", "798 SW 8th St", "address"),
+    (3, "Riverside Homes", "Riverside Homes", "address"),
+    (4, "Suite 320, Miami, FL 33131", "Suite 320, Miami, FL 33131", "address"),
+    (5, "245 Couch St, Burnside Offices, Suite 1708, Portland, OR 97205", "245 Couch St, Burnside Offices, Suite 1708, Portland, OR 97205", "address"),
+    (6, "住址道路：景明路187号。", "景明路187号", "address"),
+    (7, "苏州市工业园区青年路323号国际广场1号楼5层1581室", "苏州市工业园区青年路323号国际广场1号楼5层1581室", "address"),
+    (8, "陈南宁路88号", "南宁路88号", "address"),
+    (9, "My name is James Bond.", "James Bond", "name"),
+    (10, "Name: Caroline McIntyre", "Caroline McIntyre", "name"),
+    (11, "we met at Acme Trading Inc.", "Acme Trading Inc.", "organization"),
+    (12, "车牌粤B12345。", "粤B12345", "license_plate"),
+    (13, "note 123 alpha beta", None, None),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{v}', '{a}')" for i, _, v, a in CASES if v) + ") t(doc_id, text, attr_type)")
+def kernel_cases(spark, sf_dir):
+    from spanveil.operators.kernel import detect
+
+    rows = spark.createDataFrame([c[:2] for c in CASES], "doc_id bigint, text string")
+    return detect(rows).select("doc_id", "text", "attr_type")
+
+
+@query()
+def detect_entities(spark, sf_dir):
+    """Names, organizations, addresses and plates of every document."""
+    from spanveil.operators.kernel import detect
+
+    return detect(table(spark, sf_dir, "documents")).select("doc_id", "s", "e", "text", "attr_type", "strength")
+
+
+@query("SELECT 's' || (conv_id % 50) AS session_id, turn::BIGINT AS turn_id, conv_id AS s, dense_rank() OVER (PARTITION BY conv_id % 50 ORDER BY f)::BIGINT AS entity_id FROM (SELECT *, min((turn, conv_id)) OVER (PARTITION BY conv_id % 50, role) AS f FROM conversations)")
+def session_allocate(spark, sf_dir):
+    """A session's roles as values: each is numbered at its first appearance by turn."""
+    from spanveil.streaming.sessions import allocate
+
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 50).alias("session_id"), F.col("turn").alias("turn_id"), F.col("conv_id").alias("s"), F.lit("email").alias("attr_type"), F.col("role").alias("canonical"), F.col("role").alias("text"))
+    return allocate(rows).select("session_id", "turn_id", "s", "entity_id")
+
+
+@query("SELECT c_custkey, (('0x' || substr(sha256(c_name), 1, 16))::UBIGINT % 3)::INT AS slot FROM customer")
+def persona_slot(spark, sf_dir):
+    """Which of three slots a source text takes."""
+    from spanveil.sources.repository import pick_slot
+
+    slots = spark.createDataFrame([("p", "name", i, "value", str(i), [], "hard") for i in range(3)], "persona_id string, attr_type string, slot_no int, component string, value string, aliases array<string>, strength string")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("p").alias("persona_id"), F.lit("name").alias("attr_type"), F.col("c_name").alias("text"))
+    return pick_slot(rows, slots).select("c_custkey", F.col("replacement").cast("int").alias("slot"))
+
+
+@query(
+    """WITH b AS (SELECT (o_orderkey % 40)::BIGINT AS image_id, o_orderkey AS block_id, ((o_orderkey * 37) % 600)::INT AS x, ((o_orderkey * 91) % 900)::INT AS y, 40 AS w, 20 AS h FROM orders WHERE o_orderkey < 2000)
+SELECT a.image_id, a.block_id, arg_min(b.block_id, (b.x, b.block_id)) FILTER (a.y < b.y + b.h AND b.y < a.y + a.h AND b.x >= a.x + a.w) AS right_id, arg_min(b.block_id, (b.y, b.block_id)) FILTER (b.y >= a.y + a.h AND abs(a.x - b.x) <= 20) AS below_id
+FROM b a JOIN b ON a.image_id = b.image_id AND a.block_id <> b.block_id GROUP BY a.image_id, a.block_id"""
+)
+def ocr_chains(spark, sf_dir):
+    from spanveil.operators.geometry import chains
+
+    k = F.col("o_orderkey")
+    blocks = table(spark, sf_dir, "orders").where(k < 2000).select((k % 40).alias("image_id"), k.alias("block_id"), ((k * 37) % 600).cast("int").alias("x"), ((k * 91) % 900).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"))
+    return chains(blocks)
