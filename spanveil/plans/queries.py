@@ -414,10 +414,10 @@ def latency_summary(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "documents"), "n_chars")
 
 
-@query("WITH a AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events) SELECT event_id, user_id, CASE WHEN event_id - l <= 500 THEN l END AS anchor FROM a")
+@query("WITH a AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events) SELECT event_id, user_id, coalesce(CASE WHEN event_id - l <= 500 THEN l END, -1)::BIGINT AS anchor FROM a")
 def nearest_label_asof(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return joins.asof_left(rows, "user_id", "event_id", F.col("event_type") == "click", F.col("event_id"), 500).select("event_id", "user_id", "anchor")
+    return joins.asof_left(rows, "user_id", "event_id", F.col("event_type") == "click", F.col("event_id"), 500).select("event_id", "user_id", F.coalesce("anchor", F.lit(-1)).cast("bigint").alias("anchor"))
 
 
 @query("WITH v AS (SELECT DISTINCT o_custkey AS doc_id, o_orderstatus AS attr_type, (o_orderkey % 997)::BIGINT AS at FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS doc_id, o_orderstatus AS attr_type, (o_orderkey % 997)::BIGINT AS at FROM orders WHERE o_orderkey % 2 = 1) SELECT v.doc_id, v.attr_type, v.at, CASE WHEN min(v.at - b.at) <= 3 THEN 2 WHEN min(v.at - b.at) <= 6 THEN 1 ELSE 0 END::INT AS boost FROM v LEFT JOIN b ON b.doc_id = v.doc_id AND b.attr_type = v.attr_type AND v.at - b.at BETWEEN 0 AND 6 GROUP BY ALL")
@@ -468,10 +468,10 @@ def column_entity_type(spark, sf_dir):
     return evaluate.column_types(rows, ["s_name", "mail", "card"], detect)
 
 
-@query("""SELECT doc_id, label, number::BIGINT AS number, spec FROM (VALUES (1, '[[NAME#3]]', 'NAME', 3, ''), (2, '[[ADDR#1.CITY-DIST]]', 'ADDR', 1, 'CITY-DIST'), (3, '[[NUM#2.LEN=5]]', 'NUM', 2, 'LEN=5'), (4, '[[name#3]]', NULL, NULL, NULL), (5, 'x[[NAME#3]]', NULL, NULL, NULL)) t(doc_id, text, label, number, spec)""")
+@query("""SELECT doc_id, label, coalesce(number, -1)::BIGINT AS number, spec FROM (VALUES (1, '[[NAME#3]]', 'NAME', 3, ''), (2, '[[ADDR#1.CITY-DIST]]', 'ADDR', 1, 'CITY-DIST'), (3, '[[NUM#2.LEN=5]]', 'NUM', 2, 'LEN=5'), (4, '[[name#3]]', NULL, NULL, NULL), (5, 'x[[NAME#3]]', NULL, NULL, NULL)) t(doc_id, text, label, number, spec)""")
 def placeholder_parse(spark, sf_dir):
     rows = spark.createDataFrame([(1, "[[NAME#3]]"), (2, "[[ADDR#1.CITY-DIST]]"), (3, "[[NUM#2.LEN=5]]"), (4, "[[name#3]]"), (5, "x[[NAME#3]]")], "doc_id int, text string")
-    return rows.select("doc_id", placeholders.parse(F.col("text")).alias("p")).select("doc_id", "p.label", "p.number", "p.spec")
+    return rows.select("doc_id", placeholders.parse(F.col("text")).alias("p")).select("doc_id", "p.label", F.coalesce("p.number", F.lit(-1)).cast("bigint").alias("number"), "p.spec")
 
 
 @query("WITH d AS (SELECT source, n_chars::BIGINT AS x, doc_id FROM documents), w AS (SELECT a.source, a.doc_id, a.x AS lo, count(*) AS members, round(var_pop(b.x), 9) AS v FROM d a JOIN d b ON a.source = b.source AND b.x BETWEEN a.x AND a.x + 64 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY members DESC, v, lo) AS k FROM w) SELECT source, lo, members FROM r WHERE k = 1")
@@ -547,7 +547,7 @@ def persona_slot(spark, sf_dir):
 
 @query(
     """WITH b AS (SELECT (o_orderkey % 40)::BIGINT AS image_id, o_orderkey AS block_id, ((o_orderkey * 37) % 600)::INT AS x, ((o_orderkey * 91) % 900)::INT AS y, 40 AS w, 20 AS h FROM orders WHERE o_orderkey < 2000)
-SELECT a.image_id, a.block_id, arg_min(b.block_id, (b.x, b.block_id)) FILTER (a.y < b.y + b.h AND b.y < a.y + a.h AND b.x >= a.x + a.w) AS right_id, arg_min(b.block_id, (b.y, b.block_id)) FILTER (b.y >= a.y + a.h AND abs(a.x - b.x) <= 20) AS below_id
+SELECT a.image_id, a.block_id, coalesce(arg_min(b.block_id, (b.x, b.block_id)) FILTER (a.y < b.y + b.h AND b.y < a.y + a.h AND b.x >= a.x + a.w), -1) AS right_id, coalesce(arg_min(b.block_id, (b.y, b.block_id)) FILTER (b.y >= a.y + a.h AND abs(a.x - b.x) <= 20), -1) AS below_id
 FROM b a JOIN b ON a.image_id = b.image_id AND a.block_id <> b.block_id GROUP BY a.image_id, a.block_id"""
 )
 def ocr_chains(spark, sf_dir):
@@ -555,4 +555,4 @@ def ocr_chains(spark, sf_dir):
 
     k = F.col("o_orderkey")
     blocks = table(spark, sf_dir, "orders").where(k < 2000).select((k % 40).alias("image_id"), k.alias("block_id"), ((k * 37) % 600).cast("int").alias("x"), ((k * 91) % 900).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"))
-    return chains(blocks)
+    return chains(blocks).select("image_id", "block_id", F.coalesce("right_id", F.lit(-1)).alias("right_id"), F.coalesce("below_id", F.lit(-1)).alias("below_id"))

@@ -1,3 +1,4 @@
+import numbers
 import sys
 from pathlib import Path
 
@@ -45,7 +46,7 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
-        return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return repr(round(float(v), 6)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     cols = sorted(frame.columns)
     return sorted(tuple(cell(v) for v in r) for r in frame[cols].itertuples(index=False))
