@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,15 @@ def forget(df: DataFrame | None) -> None:
         jvm_path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and what it holds counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about ``limit`` bytes of text, so that memory doesn't follow the batch size.
     One row is never cut."""
@@ -63,6 +73,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        tidy()
 
 
 def words_of(text: str | None) -> list[bytes]:

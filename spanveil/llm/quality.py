@@ -142,11 +142,11 @@ def quality_rules(docs: DataFrame, rules=RULES, order: list[str] | None = None)
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and nothing else. Judged in place: no join, no shuffle. Rows
-    leave through a generator of no or one row: a filter would be pushed below the measures, which would then be computed
-    anew for every element of the arrays they use."""
+    leave through an outer generator: a filter, also the one that an inner generator would add, would be pushed below the
+    measures, which would then be computed anew for every element of the arrays they use."""
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("text"))
     plan = [r for r, _, _ in plan_cascade(docs, rules)]
     judged = measured(held).withColumn("_kept", F.when(base_failed(), False).otherwise(verdict(plan).isNull()))
-    out = judged.select("_row", F.explode(F.when(F.col("_kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("_one"))
+    out = judged.select("_row", F.explode_outer(F.when(F.col("_kept"), F.array(F.lit(1)))).alias("_one")).where("_one is not null")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])

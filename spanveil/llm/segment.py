@@ -177,13 +177,17 @@ class Lattices:
             beta[node] = sums
         weight -= beta[self.src]
         np.minimum(weight, 0.0, out=weight)
+        # Sums run within a node, so that no result depends on what else is in the batch.
         p = np.exp(weight)
-        cum = np.cumsum(p)
-        has = degree > 0
-        low, high = self.first[:-1][has], self.first[1:][has]
-        cum -= np.repeat(cum[low] - p[low], high - low)
-        cum[high - 1] = 2.0
-        self.cum = cum
+        self.cum = np.empty(edges, np.float32)
+        total_p, j, on = np.zeros(total), 0, np.flatnonzero(degree > 0)
+        while len(on):
+            k = self.first[on] + j
+            total_p[on] += p[k]
+            self.cum[k] = total_p[on]
+            j += 1
+            on = on[degree[on] > j]
+        self.cum[self.first[1:][degree > 0] - 1] = 2.0
 
     def sample(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each node to its chunk's end: edges of all paths in order, and their number for each node."""
@@ -203,7 +207,7 @@ class Lattices:
             node = self.dst[e]
             going = ~self.is_end[node]
             active, node, t = active[going], node[going], t + 1
-        flat = np.empty(int(n.sum()), np.int64)
+        flat = np.empty(int(n.sum()), np.int32)
         base = np.cumsum(n) - n
         for t, (who, e) in enumerate(taken):
             flat[base[who] + t] = e
@@ -239,10 +243,9 @@ def _push(lat: Lattices, docs: list[_Doc], fresh: list[tuple[int, np.ndarray, np
     n = np.array([len(f[1]) for f in fresh])
     base = np.cumsum(n) - n
     logp = lat.logp[edges]
-    upto = np.cumsum(logp)
     doc_of = np.repeat(np.arange(len(fresh)), n)
+    upto = np.concatenate([np.cumsum(logp[a : a + k]) for a, k in zip(base, n, strict=True)])
     before = upto - logp
-    before -= before[base][doc_of]
     p = np.exp(logp)
     with np.errstate(divide="ignore"):
         rest = before + np.log1p(-np.minimum(p, 1.0))
@@ -262,7 +265,7 @@ def _push(lat: Lattices, docs: list[_Doc], fresh: list[tuple[int, np.ndarray, np
         x = rest + gumbel(mix(seeds)[doc_of] + step.astype(np.uint64) * STEP)
     for k, f in enumerate(fresh):
         doc = docs[f[0]]
-        doc.paths.append((f[1], f[2], float(upto[base[k] + n[k] - 1] - upto[base[k]] + logp[base[k]]), f[3]))
+        doc.paths.append((f[1], f[2], float(upto[base[k] + n[k] - 1]), f[3]))
     for _ in range(keep):
         best = np.maximum.reduceat(x, base)
         hit = np.flatnonzero(x == best[doc_of])
@@ -283,7 +286,7 @@ def sample_texts(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int,
     docs = []
     for text, seed in zip(texts, seeds, strict=True):
         chunks = CHUNK.findall(" " + text) if text else []
-        docs.append(_Doc(seed, np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))))
+        docs.append(_Doc(seed, np.fromiter(map(index.__getitem__, chunks), np.int32, len(chunks))))
     lat = Lattices(list(index), vocab, alpha)
 
     with np.errstate(over="ignore", divide="ignore"):
@@ -294,7 +297,7 @@ def sample_texts(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int,
 
         if live:
             flat, n = lat.sample(lat.start[np.concatenate([docs[i].words for i in live])], np.concatenate([keys(docs[i], 0, 0) for i in live]))
-            chunk = np.concatenate([np.arange(len(docs[i].words)) for i in live])
+            chunk = np.concatenate([np.arange(len(docs[i].words), dtype=np.int32) for i in live])
             chunk = np.repeat(chunk, n)
             cut = np.cumsum(n)[np.cumsum([len(docs[i].words) for i in live]) - 1]
             tops = gumbel(np.array([docs[i].seed for i in live], np.uint64) ^ STEP)
@@ -324,7 +327,7 @@ def sample_texts(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int,
             flat, n = lat.sample(np.concatenate(nodes), np.concatenate(noise))
             sizes = [len(x) for x in nodes]
             cut = np.cumsum(n)[np.cumsum(sizes) - 1]
-            chunk = np.repeat(np.concatenate([np.arange(j[4], j[4] + s) for j, s in zip(jobs, sizes, strict=True)]), n)
+            chunk = np.repeat(np.concatenate([np.arange(j[4], j[4] + s, dtype=np.int32) for j, s in zip(jobs, sizes, strict=True)]), n)
             fresh = []
             for (i, head, head_chunk, e, c, value, out), a, b in zip(jobs, np.r_[0, cut[:-1]], cut, strict=True):
                 fresh.append((i, np.concatenate([head, [e], flat[a:b]]), np.concatenate([head_chunk, [c], chunk[a:b]]), value, len(head), out))
@@ -373,7 +376,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        for batch in pieces(batches, "text", 3 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             found = sample_texts(texts, [row_seed(x, seed) for x in keys], vocab, k, alpha)
             at, rows = [], []
