@@ -85,7 +85,7 @@ def base_failed() -> Column:
 RULES = (
     Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-    Rule("dup_lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1))),
+    Rule("dup_lines", lambda: 100 * F.col("n_dup_lines") > 50 * F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1))),
     Rule("letters", lambda: 100 * F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}]")), F.lit(0)) < 60 * F.col("word_chars")),
     Rule("bullets", lambda: 100 * F.coalesce(F.regexp_count("text", F.lit(r"(?m)^[ \t]*[-*•]")), F.lit(0)) > 90 * F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1))),
     Rule("all_caps", lambda: 100 * F.coalesce(F.regexp_count("text", F.lit(r"\p{Lu}")), F.lit(0)) > 60 * F.col("word_chars")),

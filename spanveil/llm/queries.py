@@ -102,7 +102,7 @@ x AS (SELECT d.doc_id, text, len(w)::BIGINT AS n_words,
   FROM d LEFT JOIN q ON q.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * n_lines
     OR 100 * letters < 60 * word_chars OR 100 * bullets > 90 * n_lines OR 100 * caps > 60 * word_chars) AS kept
 FROM b
 """,
