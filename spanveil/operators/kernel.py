@@ -119,7 +119,8 @@ def scan(text: str) -> list[Span]:
             before = text[:s].rstrip().rsplit(None, 1)[-1:] if not zh else []
             value = text[s:e]
             if zh:
-                for surname in (*lex.ZH_COMPOUND, *lex.ZH_SURNAMES):  # a surname before a road isn't part of it
+                known_place = value.startswith((*lex.ZH_CITIES, *lex.ZH_PROVINCES))
+                for surname in () if known_place else (*lex.ZH_COMPOUND, *lex.ZH_SURNAMES):  # a surname before a road isn't part of it
                     if value.startswith(surname) and len(surname) < len(value) and not re.match(rf"{re.escape(surname)}{_HAN}?(?:路|街)", value) and re.search(r"^.{1,2}(.{2,5}?)(路|街)", value):
                         if len(surname) == 2:
                             out.append(Span(s, s + 2, "name", HARD, "family"))
