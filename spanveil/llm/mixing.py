@@ -114,10 +114,10 @@ def mix_sources(docs: DataFrame, share: tuple[int, int] = (3, 2), weights: tuple
 
 def mix_documents(docs: DataFrame, share: tuple[int, int] = (3, 2), weights: tuple[int, ...] = (3, 1, 2), most: int = 2) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it, with their own columns. The plan has a row
-    a source, so the texts stay where they are."""
+    a source; it is written first, so its size is known when the join is planned and the texts stay where they are."""
     names = docs.columns
     rows = saved(sized(docs.select("doc_id", "text", "source")).select("source", "size", "hash"), "sizes")
-    plan = mix_plan(rows, share, weights, most).select(F.col("source").alias("s2"), "passes", "bound")
+    plan = saved(mix_plan(rows, share, weights, most).select(F.col("source").alias("s2"), "passes", "bound"), "plan")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "source", row_hash(F.col("doc_id")).alias("hash"))
     out = held.join(plan, F.expr("source <=> s2")).withColumn("times", times()).where("times > 0")
     out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_pass"))
