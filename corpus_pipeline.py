@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    # Written first: its size is known when the join is planned, and the texts are dealt out only if it is large.
+    gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
