@@ -556,3 +556,18 @@ def ocr_chains(spark, sf_dir):
     k = F.col("o_orderkey")
     blocks = table(spark, sf_dir, "orders").where(k < 2000).select((k % 40).alias("image_id"), k.alias("block_id"), ((k * 37) % 600).cast("int").alias("x"), ((k * 91) % 900).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"))
     return chains(blocks).select("image_id", "block_id", F.coalesce("right_id", F.lit(-1)).alias("right_id"), F.coalesce("below_id", F.lit(-1)).alias("below_id"))
+
+
+@query(
+    """WITH b AS (SELECT (o_orderkey // 50)::BIGINT AS image_id, o_orderkey AS block_id, ((o_orderkey * 37) % 600)::INT AS x, ((o_orderkey * 91) % 900)::INT AS y, 40 AS w, 20 AS h FROM orders),
+n AS (SELECT a.image_id, a.block_id, arg_min(b.block_id, (b.x, b.block_id)) FILTER (a.y < b.y + b.h AND b.y < a.y + a.h AND b.x >= a.x + a.w) AS right_id, arg_min(b.block_id, (b.y, b.block_id)) FILTER (b.y >= a.y + a.h AND abs(a.x - b.x) <= 20) AS below_id
+FROM b a JOIN b ON a.image_id = b.image_id AND a.block_id <> b.block_id GROUP BY a.image_id, a.block_id)
+SELECT b.image_id, b.block_id, coalesce(right_id, -1) AS right_id, coalesce(below_id, -1) AS below_id FROM b LEFT JOIN n ON n.image_id = b.image_id AND n.block_id = b.block_id"""
+)
+def ocr_page_chains(spark, sf_dir):
+    """Chains of every order's block; a page has 50 keys, so pages grow in number and not in size."""
+    from spanveil.operators.geometry import chains
+
+    k = F.col("o_orderkey")
+    blocks = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 50").alias("image_id"), k.alias("block_id"), ((k * 37) % 600).cast("int").alias("x"), ((k * 91) % 900).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"))
+    return chains(blocks).select("image_id", "block_id", F.coalesce("right_id", F.lit(-1)).alias("right_id"), F.coalesce("below_id", F.lit(-1)).alias("below_id"))

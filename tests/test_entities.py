@@ -173,3 +173,23 @@ def test_band_and_asof_edges(spark):
 def test_fold_keeps_first_match():
     out = sessions.fold(entities.Session(), pd.DataFrame(ROWS[:3], columns=["session_id", "turn_id", "s", "attr_type", "canonical", "text"]))
     assert out.entity_id.tolist() == [1, 2, 2]
+
+
+def test_chains_of_a_whole_table_against_brute_force(spark):
+    from collections import defaultdict
+
+    from spanveil.plans import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    pages = defaultdict(list)
+    for (k,) in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect():
+        pages[k // 50].append((k, k * 37 % 600, k * 91 % 900))
+    want = set()
+    for page, blocks in pages.items():
+        for k, x, y in blocks:
+            right = min(((u, i) for i, u, v in blocks if i != k and abs(v - y) < 20 and u >= x + 40), default=(0, -1))[1]
+            below = min(((v, i) for i, u, v in blocks if i != k and v >= y + 20 and abs(u - x) <= 20), default=(0, -1))[1]
+            want.add((page, k, right, below))
+    got = [tuple(r) for r in queries.QUERIES["ocr_page_chains"](spark, sf_dir).select("image_id", "block_id", "right_id", "below_id").collect()]
+    assert len(got) == len(want) > 2000 and set(got) == want
+    assert sum(r[2] >= 0 for r in got) > 1000 and sum(r[3] >= 0 for r in got) > 1000
