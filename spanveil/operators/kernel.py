@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import lexicons as lex
+from spanveil.functions.spans import plain
 
 WEAK, SOFT, HARD = 0, 1, 2
 # Least strength by protection level, for names and for the rest.
@@ -190,8 +191,17 @@ def detect_text(text: str | None, taken: list[tuple[int, int]] = (), protection:
 
 FOUND = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("attr_type", pa.string()), ("strength", pa.int32()), ("found_by", pa.string())]))
 FOUND_DDL = "array<struct<s:int,e:int,text:string,attr_type:string,strength:int,found_by:string>>"
-#: Texts without capitals in pairs, labels or ideographs have nothing for these rules: they never reach Python.
-NEEDS = r"[A-Z][A-Za-z'’]*[ ,][ ]?[A-Z#0-9]|[0-9] +[A-Z]|:|[一-鿿]|(?i:my name is|i am |this is |call me )"
+# What every span that counts must hold, rule by rule, from the same lists; Java's \s lacks what Python's has besides.
+_SP = r"[\s\x1c-\x1f\x85\p{Z}]"
+_ENDS = _alt({*lex.STREETS, *lex.PLACES, *lex.ORG_SUFFIXES})
+_VALUED = _alt(x for a in ("name", "organization", "address") for x in lex.LABELS[a])
+#: Texts without any of it never reach Python: an ideograph; a label and its colon; a name start before a capital; a capitalized word or a
+#: street's number before a street, place, suffix or state; a given or family name that starts with a capital or follows an apostrophe.
+NEEDS = (
+    rf"{_HAN}|(?iu:{_VALUED}){_SP}*[:：]|(?iu:{_alt(x for x in lex.NAME_STARTS if x.isascii())}){_SP}+[A-Z]"
+    rf"|(?:{WORD}|[0-9](?:st|nd|rd|th))(?:,|{_SP}+&)?{_SP}+(?:(?iu:{_ENDS})|{_STATE})"
+    rf"|(?:(?=[A-Z])|(?<=['’]))(?i:{_alt({*lex.GIVEN, *lex.SURNAMES})})(?![A-Za-z])"
+)
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", protection: str = "strong", hard: bool = True) -> DataFrame:
@@ -199,7 +209,7 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", protection: s
     structured spans if ``hard``."""
     from spanveil.operators.structured import hard_spans
 
-    rows = df.where(F.col(text).rlike(NEEDS)).select(key, F.col(text).alias("text"))
+    rows = df.where(plain(F.col(text)).rlike(NEEDS)).select(key, F.col(text).alias("text"))
     rows = hard_spans(rows) if hard else rows.withColumn("hard", F.array().cast("array<struct<s:int,e:int,text:string,kind:string>>")).withColumn("plain_text", F.col("text"))
     rows = rows.select(key, "plain_text", F.transform("hard", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("taken"))
     kind = dict(df.dtypes)[key]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil.operators import anonymizer, entities, evaluate, geometry, joins
-from spanveil.operators.kernel import detect_text
+from spanveil.operators.kernel import detect, detect_text
 from spanveil.plans.engine import Engine
 from spanveil.sources import repository, store
 from spanveil.streaming import sessions
@@ -193,3 +193,19 @@ def test_chains_of_a_whole_table_against_brute_force(spark):
     got = [tuple(r) for r in queries.QUERIES["ocr_page_chains"](spark, sf_dir).select("image_id", "block_id", "right_id", "below_id").collect()]
     assert len(got) == len(want) > 2000 and set(got) == want
     assert sum(r[2] >= 0 for r in got) > 1000 and sum(r[3] >= 0 for r in got) > 1000
+
+
+def test_gate_of_detect_loses_no_text(spark):
+    import random
+
+    texts = ["we met at Acme limited", "Acme & Sons limited", "ship it to 12a Main street", "ship it to 798 8th street", "798 8\x01th street", "she lives at Riverside homes", "ask James-Smith", "Acme\nInc.", "name：James", "name：james", "i am\tJames", "call me\n王小明", "no entity here", "12 x street", "", None]
+    parts = ["acme", "Acme", "james", "James", "smith", "Smith", "inc", "limited", "12", "12a", "8th", "21st", "main", "street", "homes", "suite 3", "#4", "name", "address", ":", "：", "my name is", "i am", "我叫", "王小明", "粤B12345", "OR", "or", "97205", "usa", "ſt", "ıs", "this is", "\xa0", "\u2003", "\n", "&", ",", "-", "’"]
+    rng = random.Random(1)
+    texts += [rng.choice(["", " ", "\n"]).join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r["doc_id"], r["s"], r["e"], r["text"], r["attr_type"]) for r in detect(rows, hard=False).collect())
+    want = sorted((i, x.s, x.e, x.attr) for i, t in enumerate(texts) for x in detect_text(t))
+    assert [(i, s, e, a) for i, s, e, _, a in got] == want and {g[0] for g in got} >= {0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11}
+    hard = detect(rows.where("doc_id < 16")).collect()
+    # James-Smith is a structured code there.
+    assert {r["doc_id"] for r in hard} >= set(range(12)) - {6} and "798 8th street" in {r["text"] for r in hard if r["doc_id"] == 4}
