@@ -1,6 +1,6 @@
 """Licence scans: a trained passage classifier with an unknown class, confirmed against templates.
 
-A passage is a line or a sentence of it. Its features are its hashed word 1-, 2- and 3-grams, each once or as often as it
+A passage is a line or a sentence of it; sentences that go over line ends are passages too, after those. Its features are its hashed word 1-, 2- and 3-grams, each once or as often as it
 occurs; a multinomial logistic regression over licence families and "none" scores it. Its temperature and the least
 probability of a named family are calibrated on notices that the fit doesn't see, among them licences of no family: a
 passage that looks like a licence, but below that probability, is unknown. A named family is confirmed if the passage holds
@@ -9,6 +9,7 @@ enough of the word pairs of one of the family's templates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +30,35 @@ FIT_DOCS, FIT_PASSAGES = 300, 20
 CONFIRM = 0.6
 _FOLD = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum()) else b if b >= 128 or b == 1 else 32 for b in range(256))
 _BREAKS = (b"\n", b". ", b"! ", b"? ", b"; ")
+#: Sentences over line ends that are longer than this are cut into windows of so many words, each half over the one before: any run of up to
+#: 80 words has more than three fifths of itself in one of them.
+WINDOW = 96
+_BLANK = re.compile(rb"\n(?:[^A-Za-z0-9\x80-\xff\n]*\n)+")
+_FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
+
+
+def _joined(raw: bytes) -> list[bytes]:
+    """Sentences of each paragraph (up to a line without a word) that go over a line end, folded; long ones as windows."""
+    if b"\n" not in raw:
+        return []
+    raw = _BLANK.sub(b" \x01 ", raw.replace(b"\r\n", b"\n")).replace(b"\n", b" \n")
+    for b in _BREAKS[1:]:
+        raw = raw.replace(b, b" \x01 ")
+    out = []
+    for p in raw.translate(_FOLD_LINES).split(b"\x01"):
+        if b"\n" in p.strip():
+            words = p.split()
+            last = len(words) - WINDOW // 2 if len(words) > WINDOW else 1
+            out += [b" ".join(words[k : k + WINDOW]) for k in range(0, last, WINDOW // 2)]
+    return out
 
 
 def _marked(text: str | None) -> bytes:
-    """Folded bytes with the mark 0x01 as a word of its own after each passage."""
-    raw = (text or "").encode("utf-8", "surrogatepass").replace(b"\x01", b" ")
+    """Folded bytes with the mark 0x01 as a word of its own between passages: lines and sentences of them, then sentences over line ends."""
+    lines = raw = (text or "").encode("utf-8", "surrogatepass").replace(b"\x01", b" ")
     for b in _BREAKS:
-        raw = raw.replace(b, b" \x01 ")
-    return raw.translate(_FOLD)
+        lines = lines.replace(b, b" \x01 ")
+    return b" \x01 ".join([lines.translate(_FOLD), *_joined(raw)])
 
 
 def passages(text: str | None) -> list[list[bytes]]:
@@ -224,7 +246,8 @@ FOUND = pa.list_(pa.struct([("passage", pa.int64()), ("family", pa.string()), ("
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_passages and found of each row of ``docs`` (doc_id, text, ...): found has a struct (passage, family, probability,
-    similarity, confirmed) for each passage that looks like a licence; family is ``unknown`` if none is probable enough.
+    similarity, confirmed) for each passage that looks like a licence; a wrapped notice may be found in a line and in the sentence
+    around it; family is ``unknown`` if none is probable enough.
 
     Null and empty texts have one empty passage and nothing found. Repeated rows are scanned each. Empty input gives an empty
     result. Other columns are ignored."""

@@ -401,3 +401,57 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     assert seen["sentencepiece"].where("not exact").count() == 0
     got = pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, got.collect())) == sorted(map(str, seen["sentencepiece"].collect()))
+
+
+BSD_WRAPPED = """Copyright (c) 2019, The Regents
+All rights kept.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+ISC_WRAPPED = """Copyright (c) 2020 Jo Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE."""
+
+
+def test_wrapped_licences_are_found(spark):
+    prose = "\n".join(" ".join(WORDS[(i * 7 + k) % 19] for k in range(12)) for i in range(60))
+    quoted = lambda t, mark: "\n".join(mark + line for line in t.split("\n"))
+    texts = [(f, v) for f, t in (("BSD", BSD_WRAPPED), ("ISC", ISC_WRAPPED)) for v in (t, t.replace("\n", "\r\n"), quoted(t, " * "), quoted(t, "# "), f"{prose}\n{t}\n\n{prose}")]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100, prose), (101, ""), (102, None), (103, "One line.\nAnother one.\n")]
+    train_on = [(200 + i, text_of(i, 40) + ". " + text_of(i + 50, 40)) for i in range(50)]
+    docs = spark.createDataFrame(rows + train_on, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.by_document(licenses.scan_licenses(docs)).collect()}
+    assert [got[i]["families"] for i in range(len(texts))] == [f for f, _ in texts]
+    assert got[100]["n_found"] == 0 and got[101]["n_passages"] == got[102]["n_passages"] == 1 and got[103]["n_passages"] == 5
+
+
+def test_windows_hold_most_of_any_notice():
+    for n in (97, 100, 144, 145, 500):
+        windows = licenses._joined(b"\n".join(b"w%d" % i for i in range(n)))
+        held = [set(w.split()) for w in windows]
+        assert set().union(*held) == {b"w%d" % i for i in range(n)}
+        for size in (10, 48, 80):
+            for k in range(n - size + 1):
+                run = {b"w%d" % i for i in range(k, k + size)}
+                assert max(len(run & h) for h in held) >= 0.6 * size
