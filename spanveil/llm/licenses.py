@@ -9,7 +9,9 @@ enough of the word pairs of one of the family's templates.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,9 @@ from spanveil.llm.neardup import BASE, WordHash, mix
 BITS = 16
 NAMES = (*FAMILIES, "none")
 NONE = len(NAMES) - 1
-#: The fit takes ordinary passages from at most so many documents, at most so many from each.
-FIT_DOCS, FIT_PASSAGES = 300, 20
+#: The fit takes ordinary passages from at most so many documents and rows of them, at most so many from each, and at most so many words in
+#: a row from a passage; all are chosen by hashes over whole texts.
+FIT_DOCS, FIT_ROWS, FIT_PASSAGES, FIT_WORDS = 300, 600, 20, 3000
 CONFIRM = 0.6
 _FOLD = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum()) else b if b >= 128 or b == 1 else 32 for b in range(256))
 _BREAKS = (b"\n", b". ", b"! ", b"? ", b"; ")
@@ -228,17 +231,31 @@ def scan_text(text: str | None, model: Model, cache: WordHash) -> list[dict]:
     return out
 
 
+def ordinary_passages(text: str | None, known: set) -> list[bytes]:
+    """The FIT_PASSAGES passages of a text that are first by a hash of their number and words; those that share two word pairs with
+    ``known`` are left out. Of a passage with more than FIT_WORDS words, a run that begins where its hash says."""
+    good = []
+    for i, words in enumerate(passages(text)):
+        if words and len(_pairs(words) & known) < 2:
+            h = zlib.crc32(b"%d " % i + b" ".join(words))
+            k = h % (len(words) - FIT_WORDS + 1) if len(words) > FIT_WORDS else 0
+            good.append((h, i, b" ".join(words[k : k + FIT_WORDS])))
+    return [p for _, _, p in heapq.nsmallest(FIT_PASSAGES, good)]
+
+
 def train(docs: DataFrame) -> Model:
-    """Fit with ordinary passages of the FIT_DOCS documents that are first by a hash of doc_id; those that share two word pairs
-    with a template are left out."""
+    """Fit with ordinary passages of the FIT_DOCS documents that are first by a hash of doc_id."""
     first = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    texts = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).join(F.broadcast(first), "doc_id").limit(2 * FIT_DOCS).collect()
     known = set().union(*(_pairs(p) for notices in FAMILIES.values() for t in notices for p in passages(t)))
-    ordinary = []
-    for row in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"] or "")):
-        good = [p for p in passages(row["text"]) if p and len(_pairs(p) & known) < 2]
-        ordinary += good[:FIT_PASSAGES]
-    return fit(ordinary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            chosen = [ordinary_passages(t, known) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chosen, pa.list_(pa.binary()))], ["doc_id", "chosen"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chosen array<binary>")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "chosen").limit(FIT_ROWS).collect()
+    return fit([bytes(p).split() for r in rows for p in r["chosen"]])
 
 
 FOUND = pa.list_(pa.struct([("passage", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))

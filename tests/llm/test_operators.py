@@ -455,3 +455,20 @@ def test_windows_hold_most_of_any_notice():
             for k in range(n - size + 1):
                 run = {b"w%d" % i for i in range(k, k + size)}
                 assert max(len(run & h) for h in held) >= 0.6 * size
+
+
+def test_licence_fit_takes_passages_of_whole_texts(spark, monkeypatch):
+    lines = [f"{text_of(i, 8)} mark{i}" for i in range(5000)]
+    text = "\n\n".join(lines)
+    chosen = licenses.ordinary_passages(text, set())
+    places = sorted(lines.index(p.decode()) for p in chosen)
+    assert len(places) == licenses.FIT_PASSAGES and places[-1] > 2500 and text.index(lines[places[-1]]) > 20_000
+    long = " ".join(f"w{i}" for i in range(9000))
+    (run,) = licenses.ordinary_passages(long, set())
+    assert len(run.split()) == licenses.FIT_WORDS and run.decode() in long
+    seen = []
+    monkeypatch.setattr(licenses, "fit", lambda p: seen.append(p))
+    docs = spark.createDataFrame([(1, text), (2, None), (None, "x y")], "doc_id long, text string")
+    licenses.train(docs)
+    licenses.train(docs.repartition(3))
+    assert seen[0] == seen[1] == [p.split() for p in chosen]
