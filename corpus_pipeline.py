@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample segmentations of each text; a document that the mix repeats gets other ones each time."""
+    """Sample segmentations of each text; a document that the mix repeats gets the same ones each time, since they are seeded by doc_id."""
     return sample_segmentations(docs)
 
 

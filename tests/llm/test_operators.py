@@ -472,3 +472,11 @@ def test_licence_fit_takes_passages_of_whole_texts(spark, monkeypatch):
     licenses.train(docs)
     licenses.train(docs.repartition(3))
     assert seen[0] == seen[1] == [p.split() for p in chosen]
+
+
+def test_pipeline_says_what_repeated_documents_get(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, text_of(1, 60)), (1, text_of(1, 60))], "doc_id long, text string")
+    rows = sorted(map(str, pipeline.encode(spark, docs, "").collect()))
+    assert rows[::2] == rows[1::2] and "the same ones each time" in pipeline.encode.__doc__
