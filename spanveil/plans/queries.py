@@ -571,3 +571,22 @@ def ocr_page_chains(spark, sf_dir):
     k = F.col("o_orderkey")
     blocks = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 50").alias("image_id"), k.alias("block_id"), ((k * 37) % 600).cast("int").alias("x"), ((k * 91) % 900).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"))
     return chains(blocks).select("image_id", "block_id", F.coalesce("right_id", F.lit(-1)).alias("right_id"), F.coalesce("below_id", F.lit(-1)).alias("below_id"))
+
+
+@query()
+def structured_route_all(spark, sf_dir):
+    """Routes of every digit run, identity numbers and cards of 18 digits too."""
+    rows = _found(table(spark, sf_dir, "documents"), "doc_id", r"\b[0-9]{10,19}\b")
+    return rows.select("doc_id", "s", "text", validators.route(F.col("text"), F.col("text"), F.lit("NUM"), F.lit(None).cast("string")).alias("check_name"))
+
+
+@query()
+def analyze_email_all(spark, sf_dir):
+    """Addresses at any host."""
+    return recognizers.analyze(table(spark, sf_dir, "documents"), entities=("EMAIL_ADDRESS",), threshold=0.4).select("doc_id", "entity_type", "s", "e", "text")
+
+
+@query()
+def analyze_card_all(spark, sf_dir):
+    """Cards of any length, with or without spaces and hyphens."""
+    return recognizers.analyze(table(spark, sf_dir, "documents"), entities=("CREDIT_CARD",)).select("doc_id", "s", "text", "score")

@@ -132,3 +132,25 @@ def test_organizations_lose_their_legal_form(spark):
 def test_checksums(spark, f, good, bad):
     assert one(spark, f(F.col("t")), t=good) is True
     assert not one(spark, f(F.col("t")), t=bad)
+
+
+def test_whole_queries_keep_what_sql_cannot_state(spark, tmp_path):
+    from spanveil.plans import queries
+
+    def good(n, body="37828224631000"):  # Luhn check digit
+        d = [int(c) for c in body]
+        total = sum((2 * x - 9 if x > 4 else 2 * x) if i % 2 == 0 else x for i, x in enumerate(reversed(d)))
+        return body + str(-total % 10)
+
+    weights = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+    ids = [b + "10X98765432"[sum(int(c) * w for c, w in zip(b, weights, strict=True)) % 11] for b in (f"11010119900307{i:03d}" for i in range(40))]
+    ids = [x for x in ids if x.isdigit()]
+    pan18, amex = good(18, "62220210011223344"), good(15)
+    texts = [*(f"id {x} end" for x in ids), f"card {pan18}", f"amex {amex} or 4111-1111-1111-1111 or 4111 1111 1111 1111", "write to jo@example.org or amy@mail.com", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    route = {r["text"]: r["check_name"] for r in run("structured_route_all")}
+    assert len(ids) > 30 and route == {**{x: "validated_id_cn_18" for x in ids}, pan18: "validated_bank_number_pan", amex: route[amex]}
+    assert {(r["text"], r["s"]) for r in run("analyze_email_all")} == {("jo@example.org", 9), ("amy@mail.com", 27)}
+    assert {amex, "4111-1111-1111-1111", "4111 1111 1111 1111"} <= {r["text"] for r in run("analyze_card_all")}
+    assert run("structured_route") and not {r["text"] for r in run("structured_route")} & {*ids, pan18}
