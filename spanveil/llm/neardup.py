@@ -94,8 +94,8 @@ def _sketch(width: int):
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "print", "sig"],
+                [batch.column("doc_id"), batch.column("tprint"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
+                ["doc_id", "tprint", "n_shingles", "print", "sig"],
             )
 
     return run
@@ -120,9 +120,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             key = band_keys(_matrix(part.column("sig")))
-            ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
+            ids = part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
             band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows))
-            yield pa.RecordBatch.from_arrays([band, pa.array(key.astype(np.int64).ravel()), ids], ["band", "key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([band, pa.array(key.astype(np.int64).ravel()), ids], ["band", "key", "node"])
 
 
 @lru_cache
@@ -171,13 +171,12 @@ def _verify(percent: int, width: int):
         cache = WordHash()
         sets: dict = {}
 
-        def of(key, text):
-            at = (key, len(text or ""))
-            if at not in sets:
+        def of(node, text):  # a node has one text
+            if node not in sets:
                 if len(sets) > 32:
                     sets.clear()
-                sets[at] = shingle_set(text, cache, width)
-            return sets[at]
+                sets[node] = shingle_set(text, cache, width)
+            return sets[node]
 
         for batch in batches:
             keep = []
@@ -193,20 +192,49 @@ def _verify(percent: int, width: int):
     return run
 
 
+class _Block:
+    """A block of outliers and a block of members of one bucket. A pair that shares several bands is compared in the first of
+    these alone, and not at all if it lies in one component."""
+
+    def __init__(self, group: pa.Table, percent: int, miss: float):
+        self.outlier = group.column("outlier").to_numpy(zero_copy_only=False).astype(bool)
+        comp = group.column("comp").to_numpy(zero_copy_only=False)
+        self.comp, self.band = comp, group.column("band")[0].as_py()
+        self.sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(comp), HASHES)
+        self.keys = band_keys(self.sig)[:, : self.band + 1]
+        self.members, self.threshold, self.miss = np.flatnonzero(~self.outlier), percent / 100, miss
+
+    def survivors(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(outlier, members) that no batch of hashes rules out."""
+        for o in np.flatnonzero(self.outlier):
+            m = self.members
+            other = m[(self.comp[m] != self.comp[o]) & ((self.keys[m] == self.keys[o]).argmax(axis=1) == self.band)]
+            if len(other):
+                alive, _ = surviving(np.broadcast_to(self.sig[o], (len(other), HASHES)), self.sig[other], self.threshold, self.miss)
+                if len(alive):
+                    yield o, other[alive]
+
+
+def _suspects(percent: int, miss: float):
+    """The rows of a block that have a survivor. No texts take part, and no pair is a row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        hit = np.zeros(group.num_rows, bool)
+        for o, near in _Block(group, percent, miss).survivors():
+            hit[o] = True
+            hit[near] = True
+        return group.filter(pa.array(hit)).select(["band", "key", "ob", "mb", "node", "comp", "outlier"])
+
+    return run
+
+
 def _blocks(percent: int, width: int, miss: float):
-    """Links between a block of outliers and a block of members of a bucket that lie in different components. A pair that shares
-    several bands is compared in the first of these alone; what the signatures can't rule out is verified on the full sets."""
+    """Links of a block: what the signatures can't rule out is verified on the full sets."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        side = group.column("outlier").to_numpy(zero_copy_only=False).astype(bool)
-        ids, comp, text = group.column("doc_id"), group.column("comp").to_pylist(), group.column("text")
-        band = group.column("band")[0].as_py()
-        names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        code = np.array([names[c] for c in comp])
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(code), HASHES)
-        keys = band_keys(sig)[:, : band + 1]
-        members = np.flatnonzero(~side)
+        ids, text = group.column("node"), group.column("text")
         cache, sets, left, right = WordHash(), {}, [], []
 
         def of(i: int) -> np.ndarray:
@@ -214,14 +242,8 @@ def _blocks(percent: int, width: int, miss: float):
                 sets[i] = shingle_set(text[i].as_py(), cache, width)
             return sets[i]
 
-        for o in np.flatnonzero(side):
-            other = members[(code[members] != code[o]) & ((keys[members] == keys[o]).argmax(axis=1) == band)]
-            if not len(other):
-                continue
-            alive, _ = surviving(np.broadcast_to(sig[o], (len(other), HASHES)), sig[other], percent / 100, miss)
-            if not len(alive):
-                continue
-            x, near = of(o), other[alive]
+        for o, near in _Block(group, percent, miss).survivors():
+            x = of(o)
             every, owner = np.concatenate([of(i) for i in near]), np.repeat(np.arange(len(near)), [len(of(i)) for i in near])
             at = np.minimum(np.searchsorted(x, every), len(x) - 1)
             both = np.bincount(owner[x[at] == every], minlength=len(near))
@@ -267,13 +289,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """State of one run: verified links, the component of each linked document."""
+    """State of one run: verified links, the component of each linked class."""
 
     def __init__(self, sigs: DataFrame, texts: DataFrame, percent: int, width: int, miss: float):
         self.sigs, self.texts, self.percent, self.width, self.miss = sigs, texts, percent, width, miss
         self.comp: DataFrame | None = None  # (node, root)
 
-    def with_comp(self, df: DataFrame, col: str = "doc_id", to: str = "comp") -> DataFrame:
+    def with_comp(self, df: DataFrame, col: str = "node", to: str = "comp") -> DataFrame:
         if self.comp is None:
             return df.withColumn(to, F.col(col))
         c = self.comp.select(F.col("node").alias(col), F.col("root").alias("_root"))
@@ -294,117 +316,194 @@ class _Links:
         new = roots.join(self.comp, "node", "left_anti").select("node", "root")
         comp = saved(old.unionByName(new), "comp")
         forget(self.comp)
+        forget(roots)
         self.comp = comp
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Compare the signatures of ``pairs`` (a, b) batch by batch; those left, with their matches."""
-        sa, sb = self.sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), self.sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-        kind = dict(pairs.dtypes)["a"]
-        return pairs.select("a", "b").join(sa, "a").join(sb, "b").mapInArrow(_compare(self.percent / 100, self.miss), f"a {kind}, b {kind}, matches bigint")
+        sa, sb = self.sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), self.sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+        return pairs.select("a", "b").join(sa, "a").join(sb, "b").mapInArrow(_compare(self.percent / 100, self.miss), "a bigint, b bigint, matches bigint")
 
     def exactly(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets are similar enough."""
         pairs = saved(pairs.select("a", "b").distinct(), "verify")
-        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = self.texts.join(need, "doc_id", "left_semi")
-        ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        kind = dict(pairs.dtypes)["a"]
-        return pairs.join(ta, "a").join(tb, "b").sortWithinPartitions("b").mapInArrow(_verify(self.percent, self.width), f"a {kind}, b {kind}")
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = self.texts.join(need, "node", "left_semi")
+        ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        links = saved(pairs.join(ta, "a").join(tb, "b").sortWithinPartitions("b").mapInArrow(_verify(self.percent, self.width), "a bigint, b bigint"), "links")
+        forget(pairs)
+        return links
 
     def take(self, found: DataFrame) -> None:
-        """Verify surviving pairs (a, b, matches) and merge. First each document's likeliest link to one before it, in the
-        order of a hash: no cycles, one set comparison a document; then whatever still links two components."""
+        """Verify surviving pairs (a, b, matches) and merge. First each class's likeliest link to one before it, in the
+        order of a hash: no cycles, one set comparison a class; then whatever still links two components."""
         found = saved(found, "found")
         if found.isEmpty():
             forget(found)
             return
         order = found.withColumn("first", F.xxhash64("a") < F.xxhash64("b")).select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("a"), "matches")
         best = order.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        self.merge(self.exactly(best))
+        links = self.exactly(best)
+        self.merge(links)
+        forget(links)
         rest = saved(self.apart(found).select("a", "b").distinct(), "rest")
         if not rest.isEmpty():
-            self.merge(self.exactly(rest))
+            links = self.exactly(rest)
+            self.merge(links)
+            forget(links)
         forget(rest)
         forget(found)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
-    """Near-duplicate components of ``docs`` (doc_id, text, ...).
+def _ranked(*more: str) -> F.Column:
+    """A row's place in the choice of the first: by doc_id, null last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tprint", *more)
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id),
-    one row per input row. Links join documents whose sets of ``width``-word shingles have 100 * intersection >=
-    ``percent`` * union; they are confirmed on the full sets. A pair at the very threshold escapes all ``BANDS`` bands with
-    probability (1 - 0.75^4)^32 = 5e-6, and a batch comparison with ``miss``; nothing else loses a link.
 
-    Null or wordless texts have an empty set, are linked with nothing and kept. Rows with a null doc_id are linked with
-    nothing either; their component_id is null and they are kept. Rows that repeat a doc_id are one document with the
-    links of each of its texts, and each row is returned. Empty input gives an empty result. Other columns are ignored.
-    """
+def _classes(docs: DataFrame, percent: int, width: int, miss: float, rounds: tuple[int, ...], block: int, nulls: bool) -> tuple[DataFrame, DataFrame, _Links]:
+    """(sketch, classes, links) of ``docs`` (doc_id, text). Sketch: doc_id, tprint (a hash of the text), n_shingles, print, one row a
+    row. Rows with equal sets are a class: print, node (its number), none, doc_id, tprint (its first row). Links has the component of each
+    linked class. Rows with a null doc_id are in no class unless ``nulls``."""
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text")
-    sketch = saved(docs.mapInArrow(_sketch(width), f"doc_id {kind}, n_shingles bigint, print binary, sig binary"), "sketch")
-    whole = sketch.where("sig is not null and doc_id is not null")
-    classes = saved(whole.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "print")
-    sigs = saved(whole.select("doc_id", "print", "sig").join(reps, ["doc_id", "print"], "left_semi").select("doc_id", "sig").distinct(), "sigs")
-    bands = saved(sigs.mapInArrow(_bands, f"band int, key bigint, doc_id {kind}"), "bands")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tprint"))
+    sketch = saved(docs.mapInArrow(_sketch(width), f"doc_id {kind}, tprint bigint, n_shingles bigint, print binary, sig binary"), "sketch")
+    whole = sketch.where(F.col("sig").isNotNull() & (F.lit(nulls) | F.col("doc_id").isNotNull()))
+    # The numbers are fixed by being written; no result depends on their order.
+    first = whole.groupBy("print").agg(F.min(_ranked("n_shingles", "sig")).alias("r"))
+    classes = saved(first.select("print", F.monotonically_increasing_id().alias("node"), "r.*"), "classes")
+    sigs = classes.select("node", "n_shingles", "sig")
+    bands = saved(sigs.mapInArrow(_bands, "band int, key bigint, node bigint"), "bands")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = saved(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id"), "members")
+    members = saved(bands.join(shared, ["band", "key"]).select("band", "key", "node"), "members")
     forget(bands)
 
+    need = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("tprint").alias("_t"))
+    texts = docs.join(need, F.expr("doc_id <=> _id and tprint <=> _t")).select("node", "text")
+    if not sketch.groupBy("doc_id", "tprint").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # a row may repeat: one text a class
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     # The first rounds take few bands, which connect most of a group; the others then meet few components.
-    links = _Links(sigs, saved(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts"), percent, width, miss)
+    links = _Links(sigs, saved(texts, "texts"), percent, width, miss)
     left, done = None, 0
     for k, upto in enumerate(rounds):
         new = members.where((F.col("band") >= done) & (F.col("band") < upto))
         seen = links.with_comp(new if left is None else left.unionByName(new) if upto > done else left)
         done = upto
-        order = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("of"))
+        order = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("id"), F.col("comp").alias("of"))
         buckets = seen.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("p"), F.max(order).alias("q")).where("lo < hi")
-        met = saved(seen.join(buckets.select("band", "key", "p", "q"), ["band", "key"]).select("band", "key", "doc_id", "comp", F.col("p.id").alias("p"), F.col("p.of").alias("pc"), F.col("q.id").alias("q"), F.col("q.of").alias("qc")), "met")
+        met = saved(seen.join(buckets.select("band", "key", "p", "q"), ["band", "key"]).select("band", "key", "node", "comp", F.col("p.id").alias("p"), F.col("p.of").alias("pc"), F.col("q.id").alias("q"), F.col("q.of").alias("qc")), "met")
         forget(left)
         if met.isEmpty() and done == BANDS:
-            left = met.select("band", "key", "doc_id")
+            left = met.select("band", "key", "node")
             left._saved_path = met._saved_path
             break
-        pairs = met.select("doc_id", "comp", F.explode(F.array(F.struct(F.col("p").alias("x"), F.col("pc").alias("xc")), F.struct(F.col("q").alias("x"), F.col("qc").alias("xc")))).alias("o")).where("comp <> o.xc")
-        pairs = pairs.select(F.least("doc_id", "o.x").alias("a"), F.greatest("doc_id", "o.x").alias("b")).distinct()
+        pairs = met.select("node", "comp", F.explode(F.array(F.struct(F.col("p").alias("x"), F.col("pc").alias("xc")), F.struct(F.col("q").alias("x"), F.col("qc").alias("xc")))).alias("o")).where("comp <> o.xc")
+        pairs = pairs.select(F.least("node", "o.x").alias("a"), F.greatest("node", "o.x").alias("b")).distinct()
         links.take(links.candidates(pairs))
-        left = saved(met.where("doc_id <> p and doc_id <> q").select("band", "key", "doc_id"), "left")
+        left = saved(met.where("node <> p and node <> q").select("band", "key", "node"), "left")
         forget(met)
     else:
         _rest(links, left, block)
     forget(left)
     forget(members)
+    forget(links.texts)
+    return sketch, classes, links
+
 
-    out = sketch.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    if links.comp is not None:
-        out = out.join(links.comp.select(F.col("node").alias("rep"), F.col("root")), "rep", "left")
+def _placed(sketch: DataFrame, classes: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``sketch`` with ``top``, the first row (none, doc_id, tprint) of its component; null for rows in no class."""
+    tops = classes.select("node", "print", _ranked().alias("own"))
+    if comp is not None:
+        linked = comp.join(tops, "node")
+        first = linked.groupBy("root").agg(F.min("own").alias("top"))
+        tops = tops.join(comp.join(first, "root").select("node", "top"), "node", "left").select("print", F.coalesce("top", "own").alias("top"))
     else:
-        out = out.withColumn("root", F.lit(None).cast(kind))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        tops = tops.select("print", F.col("own").alias("top"))
+    return sketch.select("doc_id", "tprint", "n_shingles", "print").join(tops, "print", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
+    """Near-duplicate components of ``docs`` (doc_id, text, ...).
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id),
+    one row per input row. Links join documents whose sets of ``width``-word shingles have 100 * intersection >=
+    ``percent`` * union; they are confirmed on the full sets. A pair at the very threshold escapes all ``BANDS`` bands with
+    probability (1 - 0.75^4)^32 = 5e-6, and a batch comparison with ``miss``; nothing else loses a link.
+
+    Null or wordless texts have an empty set, are linked with nothing and kept. Rows with a null doc_id are linked with
+    nothing either; their component_id is null and they are kept. Rows that repeat a doc_id are one document: it has the
+    links of each of its texts, and all its rows have one component_id. Empty input gives an empty result. Other columns are
+    ignored."""
+    sketch, classes, links = _classes(docs, percent, width, miss, rounds, block, nulls=False)
+    again = saved(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min("tprint").alias("lo"), F.max("tprint").alias("hi"), F.count("*").alias("n")).where("n > 1"), "again")
+    several = not again.where("lo is null or lo < hi").isEmpty()
+    if several:  # the classes of one document are linked through it
+        own = sketch.where("print is not null").join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "print").distinct().join(classes.select("print", "node"), "print")
+        star = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links.merge(own.join(star, "doc_id").select("a", F.col("node").alias("b")))
+    out = _placed(sketch, classes, links.comp).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top.doc_id", "doc_id")).alias("component_id"))
+    if several:  # an empty text beside others of the same document
+        whole = out.join(again.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_copies(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
+    """doc_id, tprint (xxhash64 of the text), n_shingles and kept of each row of ``docs`` (doc_id, text, ...), judged text by text: of
+    the rows whose texts are linked, those that are first by (doc_id, text) are kept, a null doc_id after all others. A doc_id with
+    two unlike texts may keep one and lose the other. Rows that repeat both are alike: all or none are kept. Null and
+    wordless texts are kept. Empty input gives an empty result."""
+    sketch, classes, links = _classes(docs, percent, width, miss, rounds, block, nulls=True)
+    rows = _placed(sketch, classes, links.comp)
+    own = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("tprint") == F.col("top.tprint"))
+    return rows.select("doc_id", "tprint", "n_shingles", F.when(F.col("top").isNull(), True).otherwise(own).alias("kept"))
+
+
+def first_of_group(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with all their columns, one row of each group of linked texts: the first by near_copies(); of rows that repeat its
+    doc_id and text, the first by a hash of the others columns. Rows of null or wordless texts all stay."""
+    rows = saved(near_copies(docs, **params).where("n_shingles > 0").groupBy("doc_id", "tprint").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "copies")
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
+    gone = rows.where("not kept").select("doc_id", "tprint")
+    out = held.join(gone, F.expr("_id <=> doc_id and _t <=> tprint"), "left_anti")
+    more = rows.where("kept").select("doc_id", "tprint")
+    if not more.isEmpty():
+        on = F.expr("_id <=> doc_id and _t <=> tprint")
+        alike = out.join(more, on, "left_semi").groupBy("_id", "_t", F.xxhash64("_row").alias("_h")).agg(F.first("_row").alias("_row"))
+        best = alike.groupBy("_id", "_t").agg(F.min("_h").alias("_h"))
+        one = alike.join(best.withColumnsRenamed({"_id": "_i", "_t": "_u", "_h": "_k"}), F.expr("_id <=> _i and _t = _u and _h = _k"), "left_semi")
+        out = out.join(more, on, "left_anti").select("_row").unionByName(one.select("_row"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
+
+
+#: Most shingles that a block's members, and its outliers, have on average.
+BLOCK_SHINGLES = 1 << 21
 
 
 def _rest(links: _Links, members: DataFrame, block: int) -> None:
     """Decide all pairs that are left in buckets of several components: outliers, which are outside the largest component of
-    their bucket, meet all members, block by block. Rows are members and outliers with the blocks they meet; no pair is a row
-    unless it is a link."""
-    seen = saved(links.with_comp(members), "left")
-    parts = seen.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("band", "key", "largest", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("no"))
+    their bucket, meet all members, block by block. First the signatures alone are dealt to the blocks; the texts follow only for
+    rows that some signature of their block didn't rule out. No pair is a row unless it is a link."""
+    seen = saved(links.with_comp(members).join(links.sigs.select("node", "n_shingles"), "node"), "left")
+    parts = seen.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    largest = F.max(F.struct("n", "comp", "w"))
+    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), largest.alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("band", "key", F.col("top.comp").alias("largest"), blocks(F.col("n"), F.col("w")).alias("nm"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("no"))
     seen2 = saved(seen.join(sizes, ["band", "key"]), "blocks")
+    forget(seen)
     if not seen2.isEmpty():
-        h = F.xxhash64("doc_id", F.lit("block"))
-        kept = ["band", "key", "doc_id", "comp"]
+        h = F.xxhash64("node", F.lit("block"))
+        kept = ["band", "key", "node", "comp"]
         as_member = seen2.select(*kept, F.lit(False).alias("outlier"), F.pmod(h, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ob"))
         as_outlier = seen2.where("comp <> largest").select(*kept, F.lit(True).alias("outlier"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(h, "no").cast("int").alias("ob"))
-        need = seen2.select("doc_id").distinct()
-        known = links.sigs.join(need, "doc_id", "left_semi").join(links.texts, "doc_id")
-        rows = as_member.unionByName(as_outlier).join(known, "doc_id")
-        kind = dict(seen2.dtypes)["doc_id"]
-        found = rows.groupBy("band", "key", "ob", "mb").applyInArrow(_blocks(links.percent, links.width, links.miss), f"a {kind}, b {kind}")
-        links.merge(found)
+        sigs = links.sigs.select("node", "sig")
+        rows = as_member.unionByName(as_outlier).join(sigs, "node")
+        hits = saved(rows.groupBy("band", "key", "ob", "mb").applyInArrow(_suspects(links.percent, links.miss), "band int, key bigint, ob int, mb int, node bigint, comp bigint, outlier boolean"), "suspects")
+        if not hits.isEmpty():
+            known = sigs.join(links.texts, "node")
+            found = saved(hits.join(known, "node").groupBy("band", "key", "ob", "mb").applyInArrow(_blocks(links.percent, links.width, links.miss), "a bigint, b bigint"), "found")
+            links.merge(found)
+            forget(found)
+        forget(hits)
     forget(seen2)
-    forget(seen)

@@ -75,6 +75,42 @@ def test_near_duplicates_against_all_pairs(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def two_texts(seed):
+    """Two unlike texts of equal length, and a near copy of each."""
+    a, b = text_of(seed, 100), text_of(seed + 1, 100)
+    b = b[: len(a)] + "x" * (len(a) - len(b))
+    return a, b, " ".join(a.split()[:-4]), " ".join(b.split()[:-4])
+
+
+def test_a_repeated_doc_id_is_one_document(spark):
+    rows, want = [], {None: None}
+    cases = (
+        (lambda a, b, x, y: [(3, a), (5, a), (5, b), (7, b)], {3: 3, 5: 3, 7: 3}),
+        (lambda a, b, x, y: [(1, x), (5, a), (5, b), (9, y)], {1: 1, 5: 1, 9: 1}),
+        (lambda a, b, x, y: [(5, x), (7, a), (7, b), (9, y)], {5: 5, 7: 5, 9: 5}),
+        (lambda a, b, x, y: [(5, a), (5, None), (2, a), (5, a)], {2: 2, 5: 2}),
+        (lambda a, b, x, y: [(None, a), (None, b), (4, a)], {4: 4}),
+    )
+    for k, (case, expected) in enumerate(cases):
+        rows += [(i if i is None else 100 * k + i, t) for i, t in case(*two_texts(1000 + 10 * k))]
+        want |= {100 * k + i: 100 * k + j for i, j in expected.items()}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]])
+
+
+def test_one_row_of_each_group_of_texts_stays(spark):
+    a, b, _, near_b = two_texts(31)
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (7, near_b, 5), (3, a, 6), (None, a, 7), (None, text_of(40, 50), 8), (8, None, 9), (8, None, 9), (9, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    out = neardup.first_of_group(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(3, a), (5, b), (None, text_of(40, 50)), (8, None), (8, None), (9, "")]))
+    assert neardup.first_of_group(docs.where("false")).count() == 0
+
+
 def test_a_group_of_drifting_copies_is_one_by_links(spark):
     """Copies of copies: links make one component though its ends differ. What the rounds leave goes through the blocks."""
     rng, words, rows = np.random.default_rng(3), text_of(7, 150).split(), []
@@ -156,9 +192,21 @@ def test_quality_rules(docs, empty):
     assert other == {i: r["kept"] for i, r in rows.items()}
     kept = keep_good(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in other.items() if k}
+    for order in (["few_words", "repeats", "symbols", "word_length", "dup_lines", "letters", "bullets", "all_caps"], ["all_caps", "letters", "repeats", "bullets", "dup_lines", "few_words", "word_length", "symbols"]):
+        assert sorted(map(str, keep_good(docs, order=order).collect())) == sorted(map(str, kept.collect()))
     assert quality_rules(empty).count() == 0 and keep_good(empty).count() == 0
 
 
+def test_quality_sample_is_spread_over_the_table(spark):
+    from spanveil.llm.quality import BASE_RULES, RULES, plan_cascade, sampled
+
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text")).coalesce(1)
+    at = sorted(int(r["text"].split()[1]) for r in sampled(df, 500, 100).collect())
+    assert 350 < len(at) <= 1000 and at[0] < 1000 and at[-1] > 19_000
+    plan = plan_cascade(df, (*BASE_RULES, *RULES))
+    assert plan[0][2] == 1.0 and {r.name for r, _, _ in plan} == {r.name for r in (*BASE_RULES, *RULES)}
+
+
 # Toxicity
 
 
