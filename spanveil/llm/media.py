@@ -113,10 +113,13 @@ class Track:
     sync: np.ndarray | None = None  # numbers of key samples from 0; None: all
     ticks: int = 0
 
-    def keyframes(self) -> list[tuple[int, int]]:
-        """(offset, size) of each key sample."""
+    def ranges(self) -> np.ndarray:
+        """Offset and size of each key sample, a row each."""
         at = np.arange(len(self.sizes)) if self.sync is None else self.sync[self.sync < len(self.sizes)]
-        return list(zip(self.offsets[at].tolist(), self.sizes[at].tolist(), strict=True))
+        return np.stack([self.offsets[at], self.sizes[at]], axis=1).astype(np.int64)
+
+    def keyframes(self) -> list[tuple[int, int]]:
+        return [(a, n) for a, n in self.ranges().tolist()]
 
 
 def _sample_table(data: memoryview, boxes: dict[bytes, tuple[int, int]], track: Track) -> None:
@@ -138,10 +141,14 @@ def _sample_table(data: memoryview, boxes: dict[bytes, tuple[int, int]], track:
         body = boxes[b"stsz"][0]
         (one,) = struct.unpack_from(">I", data, body + 4)
         n = count(b"stsz", 8, 0 if one else 4)
+        if n * max(one, 0) > len(data):
+            raise ValueError(f"{n} samples of {one} bytes in a file of {len(data)}")
         track.sizes = np.full(n, one, np.int64) if one else u32(body + 12, n)
     elif b"stz2" in boxes:
         body = boxes[b"stz2"][0]
         bits, n = data[body + 7], struct.unpack_from(">I", data, body + 8)[0]
+        if bits not in (4, 8, 16) or body + 12 + (n * bits + 7) // 8 > boxes[b"stz2"][1]:
+            raise ValueError(f"{n} sample sizes of {bits} bits")
         if bits == 4:
             raw = np.frombuffer(data, np.uint8, (n + 1) // 2, body + 12)
             track.sizes = np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n].astype(np.int64)
@@ -156,9 +163,10 @@ def _sample_table(data: memoryview, boxes: dict[bytes, tuple[int, int]], track:
         if not n or not m:
             raise ValueError("samples without chunks")
         per = runs[np.searchsorted(runs[:, 0], np.arange(1, n + 1), side="right") - 1, 1]
-        of = np.repeat(np.arange(n), per)[: len(track.sizes)]
-        if len(of) < len(track.sizes):
+        upto = np.cumsum(np.minimum(per, len(track.sizes)))  # what a chunk may claim beyond all samples is never laid out
+        if upto[-1] < len(track.sizes):
             raise ValueError("chunks hold fewer samples than there are")
+        of = np.searchsorted(upto, np.arange(len(track.sizes)), side="right")
         ends = np.cumsum(track.sizes)
         begins = ends - track.sizes
         starts = np.searchsorted(of, np.arange(n), side="left")
@@ -175,7 +183,7 @@ def _fragment(data: memoryview, start: int, moof: tuple[int, int], tracks: dict[
         if kind != b"traf":
             continue
         track, base, size, length, flags, at = None, start, 0, 0, 0, start
-        for sub, b, _ in walk(data, body, end):
+        for sub, b, stop in walk(data, body, end):
             f = struct.unpack_from(">I", data, b)[0] & 0xFFFFFF
             if sub == b"tfhd":
                 (tid,) = struct.unpack_from(">I", data, b + 4)
@@ -201,6 +209,8 @@ def _fragment(data: memoryview, start: int, moof: tuple[int, int], tracks: dict[
                     (lead,) = struct.unpack_from(">I", data, p)
                     p += 4
                 cols = [bit for bit in (0x100, 0x200, 0x400, 0x800) if f & bit]
+                if p + 4 * n * len(cols) > stop or (0x200 not in cols and n * max(size, 1) > len(data)):
+                    raise ValueError(f"a run of {n} samples in a file of {len(data)}")
                 t = np.frombuffer(data, ">u4", n * len(cols), p).reshape(n, len(cols)).astype(np.int64)
                 col = lambda bit, other: t[:, cols.index(bit)] if bit in cols else np.full(n, other, np.int64)  # noqa: B023, E731
                 sizes, marks = col(0x200, size), col(0x400, flags).copy()
@@ -299,29 +309,37 @@ def probe_media(df: DataFrame, key: str, column: str) -> DataFrame:
 
 def feature(track: Track) -> str:
     """Codec, duration and key frames of a track in one line; the ranges as a checksum over (offset, length) pairs."""
-    keys = np.array(track.keyframes(), ">i8").reshape(-1, 2)
+    keys = track.ranges().astype(">i8")
     return f"codec={track.codec} timescale={track.timescale} duration={track.duration} samples={len(track.sizes)} keyframes={len(keys)} ranges={zlib.crc32(keys.tobytes()):08x}"
 
 
+MEDIA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, timescale bigint, duration bigint, keyframes array<struct<offset:bigint,length:bigint>>"
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each row of ``docs``
-    (doc_id, text, ...): each text is stored as a file, and everything after n_bytes comes from the stored file.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec, timescale, duration and
+    keyframes (offset and length in the file) of each row of ``docs`` (doc_id, text, ...): each text is stored as a file, and everything
+    after n_bytes comes from the stored file. Key frame ranges take 16 bytes for each SYNC_EVERY * UNIT bytes of text.
 
     Null and empty texts are one unit of spaces. Equal texts have equal values. Repeated rows are stored each. Empty input
     gives an empty result. Other columns are ignored."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, names = dict(docs.dtypes)["doc_id"], [c.split()[0] for c in MEDIA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            rows = []
+            rows, frames = [], []
             for text in batch.column("text").to_pylist():
                 data = write_media(padded(text))
                 (track,) = probe(data)
                 back = payload(data, track)
                 n = len((text or "").encode("utf-8", "surrogatepass"))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec, track.timescale, track.duration))
+                frames.append(track.ranges())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            ends = np.cumsum([0, *map(len, frames)]).astype(np.int32)
+            flat = np.concatenate(frames)
+            ranges = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["offset", "length"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, ranges], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEDIA}")
