@@ -80,7 +80,75 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: Notices of other licences: they calibrate the unknown class and belong to no family.
+#: The licences' own titles, which the fit reads too.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("The MIT License",),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "BSD": ("The 3-Clause BSD License", "The 2-Clause BSD License"),
+    "GPL": ("GNU General Public License, version 3", "GNU General Public License, version 2"),
+    "LGPL": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 2.1"),
+    "AGPL": ("GNU Affero General Public License, version 3",),
+    "MPL": ("Mozilla Public License, version 2.0",),
+    "ISC": ("ISC License",),
+    "CC-BY": ("Creative Commons Attribution 4.0 International",),
+    "CC-BY-SA": ("Creative Commons Attribution-ShareAlike 4.0 International",),
+    "CC-BY-NC": ("Creative Commons Attribution-NonCommercial 4.0 International",),
+    "Public-Domain": ("CC0 1.0 Universal", "The Unlicense"),
+    "Proprietary": ("All rights reserved",),
+}
+
+#: Notices that the fit doesn't see: they calibrate its probabilities.
+CALIBRATION: dict[str, tuple[str, ...]] = {
+    "MIT": ("The source code is available under the MIT license, see the file LICENSE.", "MIT licensed.", "You can use this package under the MIT License."),
+    "Apache-2.0": ("This file is distributed under the terms of the Apache License 2.0.", "Apache License, Version 2.0, January 2004", "The library is available under the Apache-2.0 license."),
+    "BSD": ("Distributed under the terms of the Modified BSD License.", "The code is available under the 3-clause BSD license.", "This file is covered by a BSD-style license."),
+    "GPL": ("The program is distributed under the terms of the GNU General Public License.", "This file is part of a program under the GNU GPL, version 2 or later.", "Covered by the GNU General Public License v3."),
+    "LGPL": ("Distributed under the terms of the GNU Lesser General Public License.", "The library is covered by the GNU LGPL, version 2.1 or later.", "LGPL: see the GNU Lesser General Public License for details."),
+    "AGPL": ("Distributed under the terms of the GNU Affero General Public License.", "The server is covered by the GNU AGPL, version 3."),
+    "MPL": ("This file is available under the Mozilla Public License, version 2.0.", "Covered by the MPL 2.0."),
+    "ISC": ("Distributed under the terms of the ISC license.", "ISC licensed, see the file LICENSE."),
+    "CC-BY": ("This article is available under the Creative Commons Attribution 4.0 licence.", "Text and figures: CC BY 4.0."),
+    "CC-BY-SA": ("Content is available under CC BY-SA 4.0 unless noted.", "Shared under the Creative Commons Attribution-ShareAlike 3.0 licence."),
+    "CC-BY-NC": ("The data set is available under CC BY-NC 4.0.", "Shared under the Creative Commons Attribution-NonCommercial licence."),
+    "Public-Domain": ("The author has placed this work in the public domain.", "Dedicated to the public domain under CC0 1.0.", "To the public domain: all copyright and related rights are waived."),
+    "Proprietary": ("Copyright by the publisher, all rights reserved worldwide.", "Confidential and proprietary information of the company.", "No part of this book may be reproduced without written permission of the publisher."),
+}
+
+#: Notices that neither the fit nor its calibration sees: recall is measured on them.
+TEST: dict[str, tuple[str, ...]] = {
+    "MIT": ("This software is released under the MIT License.", "Licensed under MIT license terms."),
+    "Apache-2.0": ("The project is licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."),
+    "BSD": ("This project is released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms are permitted provided that the above copyright notice is retained."),
+    "GPL": ("You can redistribute this tool under the terms of the GNU General Public License.", "Licensed under the GNU General Public License, version 2."),
+    "LGPL": ("This module is free software under the GNU Lesser General Public License.", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    "AGPL": ("Licensed under the GNU Affero General Public License, version 3 or later.", "This service is free software under the GNU Affero General Public License."),
+    "MPL": ("Licensed under the Mozilla Public License, v. 2.0.", "This code is subject to the Mozilla Public License."),
+    "ISC": ("This project is released under the ISC License.", "Licensed under the ISC License."),
+    "CC-BY": ("This report is licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA": ("This page is licensed under CC BY-SA 4.0.", "Available under the Creative Commons Attribution-ShareAlike License."),
+    "CC-BY-NC": ("This recording is licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "Public-Domain": ("This file is released into the public domain.", "Released under the CC0 1.0 Universal dedication."),
+    "Proprietary": ("Copyright 2020. All rights reserved.", "This document is confidential and proprietary and may not be disclosed."),
+}
+
+#: What a prediction is compared with: the words that name a family, and opening words of its full text. The fit doesn't read them.
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "License: MIT", "MIT licensed", "Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "this permission notice shall be included in all copies or substantial portions of the Software"),
+    "Apache-2.0": ("Apache License", "License: Apache-2.0", "Identifier: Apache", "apache org licenses", "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "you may not use this file except in compliance with the License"),
+    "BSD": ("BSD license", "BSD-style license", "Clause License", "Clause BSD license", "Identifier: BSD", "Redistribution and use in source and binary forms", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "be used to endorse or promote products derived from this software without specific prior written permission"),
+    "GPL": ("GNU General Public License", "GNU GPL", "Identifier: GPL"),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "Identifier: LGPL"),
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "Identifier: AGPL"),
+    "MPL": ("Mozilla Public License", "the MPL", "Identifier: MPL", "mozilla org MPL"),
+    "ISC": ("ISC License", "ISC licensed", "Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "CC-BY": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-SA": ("CC BY-SA", "Commons Attribution-ShareAlike"),
+    "CC-BY-NC": ("CC BY-NC", "Commons Attribution-NonCommercial"),
+    "Public-Domain": ("public domain", "CC0 1.0", "Identifier: Unlicense", "waived all copyright and related or neighboring rights"),
+    "Proprietary": ("All rights reserved", "confidential and proprietary", "No part of this publication may be reproduced", "without the prior written permission of the publisher", "without written permission of the publisher"),
+}
+
+#: Notices of other licences, which belong to no family. Those at even places calibrate the unknown class, the others test it.
 OTHERS: tuple[str, ...] = (
     "Licensed under the European Union Public Licence, version 1.2.",
     "This software is provided 'as-is', without any express or implied warranty, under the zlib licence.",
@@ -114,3 +182,17 @@ PLAIN: tuple[str, ...] = (
     "They published the notice in the local paper.",
     "The foundation of the house is made of stone.",
 )
+
+#: Ordinary sentences that neither the fit nor its calibration sees.
+PLAIN_TEST: tuple[str, ...] = (
+    "The license plate of the car was covered with mud.",
+    "A copy of the letter was found in the library.",
+    "Her rights were read to her in two languages.",
+    "The general told the public that the war was over.",
+    "Version four of the engine needs less fuel.",
+    "The permission slip must be signed by a parent.",
+    "Common gulls are common along this coast.",
+    "He released the brake and the cart rolled down.",
+    "The terms were good and the conditions better.",
+    "They reserve a table for two every Friday.",
+)

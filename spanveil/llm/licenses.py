@@ -4,7 +4,7 @@ A passage is a line or a sentence of it; sentences that go over line ends are pa
 occurs; a multinomial logistic regression over licence families and "none" scores it. Its temperature and the least
 probability of a named family are calibrated on notices that the fit doesn't see, among them licences of no family: a
 passage that looks like a licence, but below that probability, is unknown. A named family is confirmed if the passage holds
-enough of the word pairs of one of the family's templates.
+enough of the word pairs of one of the family's templates, which the fit doesn't see either. A third set of notices tests it all.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import pieces
-from spanveil.llm.license_texts import FAMILIES, OTHERS, PLAIN
+from spanveil.llm.license_texts import CALIBRATION, FAMILIES, OTHERS, PLAIN, TEMPLATES, TITLES
 from spanveil.llm.neardup import BASE, WordHash, mix
 
 BITS = 16
@@ -121,8 +121,8 @@ def fit(ordinary: list[list[bytes]], epochs: int = 12, copies: int = 12, step: f
     ordinary = [w for w in ordinary if w] + plain
     junk = sorted({w for p in ordinary for w in p})
     known: list[tuple[list[bytes], int]] = []
-    for c, notices in enumerate(FAMILIES.values()):
-        for notice in notices:
+    for c, (name, notices) in enumerate(FAMILIES.items()):
+        for notice in (*notices, *TITLES[name]):
             for words in passages(notice):
                 if len(words) > 1:
                     known += [(words, c)] * 2 + [(_noisy(words, rng, junk), c) for _ in range(copies)]
@@ -149,9 +149,9 @@ def fit(ordinary: list[list[bytes]], epochs: int = 12, copies: int = 12, step: f
             gb += p * p
             b -= step * p / np.sqrt(gb)
     model = Model(w.astype(np.float32), b, 1.0, 0.5, np.zeros(0))
-    # Calibration on new noisy copies, other licences and plain sentences.
-    fresh = [(_noisy(words, rng, junk), c) for c, notices in enumerate(FAMILIES.values()) for t in notices for words in passages(t) if len(words) > 1 for _ in range(3)]
-    fresh += [(p, NONE) for p in plain]
+    # Calibration on other notices, whole and noisy, and on ordinary passages.
+    fresh = [(w, c) for c, name in enumerate(FAMILIES) for t in CALIBRATION[name] for p in passages(t) if len(p) > 1 for w in (p, _noisy(p, rng, junk), _noisy(p, rng, junk))]
+    fresh += [(p, NONE) for p in ordinary[::7]]
     z = np.array([model.bias + model.weight[bag].sum(axis=0) for bag in bags(fresh)])
     target = np.array([c for _, c in fresh])
 
@@ -167,7 +167,7 @@ def fit(ordinary: list[list[bytes]], epochs: int = 12, copies: int = 12, step: f
             p = model.probabilities(words, cache)
             if p.argmax() == c:
                 right.append(p[c])
-    for t in OTHERS:
+    for t in OTHERS[::2]:
         for words in passages(t):
             p = model.probabilities(words, cache)
             if len(words) > 1 and p.argmax() != NONE:
@@ -186,10 +186,10 @@ _TEMPLATES: dict[str, list[set]] = {}
 
 
 def similarity(family: str, words: list[bytes]) -> float:
-    """The largest share of a template sentence's word pairs that a passage holds."""
+    """The largest share of a template's word pairs that a passage holds."""
     if not _TEMPLATES:
-        for name, notices in FAMILIES.items():
-            _TEMPLATES[name] = [_pairs(p) for t in notices for p in passages(t) if len(p) > 1]
+        for name, notices in TEMPLATES.items():
+            _TEMPLATES[name] = [_pairs([w for p in passages(t) for w in p]) for t in notices]
     own = _pairs(words)
     return max((len(t & own) / len(t) for t in _TEMPLATES[family]), default=0.0)
 
@@ -211,8 +211,9 @@ def suspects(text: str | None, model: Model, cache: WordHash) -> Iterator[tuple[
             inside &= ~mark[k : k + len(f)]
         gain += np.bincount(of[: len(f)][inside], weights=model.above[f[inside]], minlength=len(gain))
     top = float((model.bias - model.bias[NONE])[:NONE].max())
+    ends = np.append(np.flatnonzero(mark), len(words))  # a passage's words are those before its mark
     for i in np.flatnonzero(gain + top > 0).tolist():
-        own = [words[j] for j in np.flatnonzero((of == i) & ~mark)]
+        own = words[ends[i - 1] + 1 if i else 0 : ends[i]]
         if own:
             yield i, own
 
