@@ -361,13 +361,23 @@ def row_seed(key, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(str(key).encode("utf-8", "surrogatepass"), seed=seed)
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 17, vocabulary: str = VOCABULARY, digest: bool = False) -> DataFrame:
+def numbered_repeats(docs: DataFrame, name: str = "pass") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``name``: 0, 1, ... over the rows that repeat both. Rows with the same are alike but for their
+    other columns, so which of them gets which number changes no samples. One shuffle; a group is as large as a document is repeated."""
+    from pyspark.sql import Window
+
+    alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return docs.withColumn(name, F.row_number().over(alike) - 1)
+
+
+def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 17, vocabulary: str = VOCABULARY, digest: bool = False, repeat: str | None = None) -> DataFrame:
     """Up to ``k`` rows for each row of ``docs`` (doc_id, text, ...): doc_id, sample (1 for the best perturbed value), n_pieces,
     ids, log_prob, inclusion, exact (the ids decode to the whole text). With ``digest``, ids_sha256 (of little-endian
     32-bit ids) stands for ids. A lattice with fewer than k paths gives them all, each with inclusion 1.
 
     Null and empty texts have one segmentation of no pieces. The noise depends on doc_id, so equal texts get other samples,
-    and repeated rows the same ones; a null doc_id is a key too. Texts that hold the space mark keep it, as bytes. Empty
+    and repeated rows the same ones; a null doc_id is a key too. ``repeat`` names a column of numbers that join doc_id in the
+    seed (0 adds nothing) and the result, so that rows which repeat a doc_id get samples of their own. Texts that hold the space mark keep it, as bytes. Empty
     input gives an empty result. Other columns are ignored."""
     import hashlib
 
@@ -378,6 +388,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
         vocab = shared.value
         for batch in pieces(batches, "text", 2 << 20):
             keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            if repeat:
+                keys = [(x, n) if n else x for x, n in zip(keys, batch.column(repeat).to_pylist(), strict=True)]
             found = sample_texts(texts, [row_seed(x, seed) for x in keys], vocab, k, alpha)
             at, rows = [], []
             for i, (text, samples) in enumerate(zip(texts, found, strict=True)):
@@ -388,13 +400,15 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
                     x = ids.astype("<i4")
                     rows.append((rank, len(ids), hashlib.sha256(x.tobytes()).hexdigest() if digest else x, lp, inclusion, exact))
             col = lambda c, t: pa.array([r[c] for r in rows], t)  # noqa: B023, E731
+            kept = [c for c in ("doc_id", repeat) if c]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), col(0, pa.int32()), col(1, pa.int64()), col(2, pa.string() if digest else pa.list_(pa.int32())), col(3, pa.float64()), col(4, pa.float64()), col(5, pa.bool_())],
-                ["doc_id", "sample", "n_pieces", "ids_sha256" if digest else "ids", "log_prob", "inclusion", "exact"],
+                [*[batch.column(c).take(pa.array(at, pa.int64())) for c in kept], col(0, pa.int32()), col(1, pa.int64()), col(2, pa.string() if digest else pa.list_(pa.int32())), col(3, pa.float64()), col(4, pa.float64()), col(5, pa.bool_())],
+                [*kept, "sample", "n_pieces", "ids_sha256" if digest else "ids", "log_prob", "inclusion", "exact"],
             )
 
     ids = "ids_sha256 string" if digest else "ids array<int>"
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, sample int, n_pieces bigint, {ids}, log_prob double, inclusion double, exact boolean")
+    more = f", `{repeat}` {dict(docs.dtypes)[repeat]}" if repeat else ""
+    return docs.select("doc_id", "text", *([repeat] if repeat else [])).mapInArrow(run, f"doc_id {kind}{more}, sample int, n_pieces bigint, {ids}, log_prob double, inclusion double, exact boolean")
 
 
 def decode_segmentations(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
