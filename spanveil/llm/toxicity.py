@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import pieces
+from spanveil.llm.common import forget, pieces, saved
 from spanveil.llm.neardup import mix
 
 BITS = 18
@@ -44,20 +44,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, prior: float, least_z: float = LEAST_Z, epochs: int = 8, step: float = 0.1, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
-    """(weight of each hashed n-gram, intercept) from distinct features a text and labels. ``prior`` is the share of toxic
-    texts among all labelled ones; samples are weighted back to it. Without both classes the weights are 0."""
+def log_ratios(c1, c0, n1: int, n0: int, least_z: float = LEAST_Z):
+    """Log ratio of the shares of toxic and other training texts that hold a feature, from the counts of these texts; 0 where its
+    distance from 0 is below ``least_z`` standard deviations."""
+    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+    return np.where(np.abs(ratio) / np.sqrt(1 / (c1 + 1) + 1 / (c0 + 1)) < least_z, 0.0, ratio)
+
+
+def fit(used: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, prior: float, epochs: int = 8, step: float = 0.1, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
+    """(weight of each hashed n-gram, intercept) from the features of each text that have a ratio, labels and ratios. ``prior`` is the
+    share of toxic texts among all labelled ones; samples are weighted back to it. Without both classes the weights are 0."""
     size = 1 << BITS
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     if not n1 or not n0:
         return np.zeros(size, np.float32), float(np.log(prior / (1 - prior)))
-    c1, c0 = np.zeros(size), np.zeros(size)
-    for x, y in zip(features, toxic, strict=True):
-        (c1 if y else c0)[x] += 1
-    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    ratio[np.abs(ratio) / np.sqrt(1 / (c1 + 1) + 1 / (c0 + 1)) < least_z] = 0
-    used = [x[ratio[x] != 0] for x in features]
     share = np.where(toxic == 1, prior * (n1 + n0) / n1, (1 - prior) * (n1 + n0) / n0)
     w, g2, b, gb = np.zeros(size), np.full(size, 1e-8), float(np.log(prior / (1 - prior))), 1e-8
     rng = np.random.default_rng(seed)
@@ -84,30 +85,59 @@ def scores(texts: list[str | None], weight: np.ndarray, intercept: float) -> lis
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[np.ndarray, float]:
-    """Fit on rows that aren't held out: of each class the ``rows`` first by a hash of doc_id. Rows without a label or
-    with other labels than 0 and 1 are not used; a document with both counts as toxic."""
+def fit_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[DataFrame, dict[int, int]] | None:
+    """(doc_id, toxic, text) of the rows of the fit, one a doc_id, and the number of labelled documents by label; None without any. Of
+    each class the ``rows`` first by a hash of doc_id; of a doc_id's texts of at most ``chars`` characters the first by a hash."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return np.zeros(1 << BITS, np.float32), 0.0
+        return None
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = F.broadcast(first(0).unionByName(first(1)))  # at most 2 * rows rows of two numbers
-    texts = docs.select("doc_id", "text").where(F.length("text") <= chars).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select("doc_id", "text").where(F.length("text") <= chars).join(chosen, "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "toxic", "t.text"), totals
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[np.ndarray, float]:
+    """Fit on rows that aren't held out. Rows without a label or with other labels than 0 and 1 are not used; a document with both
+    counts as toxic. Texts become n-grams, and these are counted by class, on the executors; the driver gets the counts of n-grams
+    that tell the classes apart (2^BITS at most), and of each text only these."""
+    found = fit_texts(docs, labels, rows, chars)
+    if found is None:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    texts, totals = found
     kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             with np.errstate(over="ignore"):
                 x = [np.unique(grams(t)).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.int32()))], ["doc_id", "toxic", "x"])
 
-    got = texts.mapInArrow(run, f"doc_id {kind}, toxic int, x array<int>").limit(2 * rows).toArrow()
+    held = saved(texts.mapInArrow(features, f"doc_id {kind}, toxic int, x array<int>"), "grams")
+    sizes = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
+    n1, n0 = sizes["n1"], sizes["n"] - sizes["n1"]
+    counts = held.select("toxic", F.explode("x").alias("h")).groupBy("h").agg(F.sum("toxic").alias("c1"), F.count("*").alias("n"))
+    c1, c0 = F.col("c1") + 1, F.col("n") - F.col("c1") + 1
+    z = F.abs(F.log(c1 / (n1 + 2)) - F.log(c0 / (n0 + 2))) / F.sqrt(1 / c1 + 1 / c0)
+    telling = counts.where(z >= LEAST_Z - 1e-6).toArrow()
+    h, c1, n = (telling.column(c).to_numpy() for c in ("h", "c1", "n"))
+    ratio = np.zeros(1 << BITS)
+    ratio[h] = log_ratios(c1, n - c1, n1, n0)
+    kept = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [v[kept.value[v]] for v in (np.asarray(x.values, np.int32) for x in batch.column("x"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.int32()))], ["doc_id", "toxic", "x"])
+
+    got = held.mapInArrow(told, f"doc_id {kind}, toxic int, x array<int>").toArrow()
+    forget(held)
     order = np.argsort([str(i) for i in got.column("doc_id").to_pylist()], kind="stable")
     x = got.column("x").combine_chunks()
     values, at = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy(zero_copy_only=False)
-    toxic = got.column("toxic").to_numpy()[order]
-    return fit([values[at[i] : at[i + 1]] for i in order], toxic, totals.get(1, 0) / sum(totals.values()))
+    return fit([values[at[i] : at[i + 1]] for i in order], got.column("toxic").to_numpy()[order], ratio, totals.get(1, 0) / sum(totals.values()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
