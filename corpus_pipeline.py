@@ -1,18 +1,20 @@
 """A training corpus from documents: quality rules, line dedup, near-dedup, source mixing, segmentation.
 
-Each stage takes what its predecessor kept; all but the last return the columns of documents.
+Each stage takes what its predecessor kept; all but the last return the columns of documents. Null and empty texts have no words
+and go with the quality rules; a later stage that is given them keeps them. A null doc_id or source is a value like others, repeated
+rows are rows, no text is cut, columns may have any names, and empty input gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm.common import saved
+from spanveil.llm.common import forget, saved
 from spanveil.llm.linededup import drop_frequent_lines
 from spanveil.llm.mixing import mix_documents
-from spanveil.llm.neardup import near_duplicates
+from spanveil.llm.neardup import first_of_group
 from spanveil.llm.quality import keep_good
-from spanveil.llm.segment import sample_segmentations
+from spanveil.llm.segment import numbered_repeats, sample_segmentations
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, the one with the smallest doc_id."""
-    # Written first: its size is known when the join is planned, and the texts are dealt out only if it is large.
-    gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near-duplicate texts, the one with the smallest doc_id; a doc_id with two unlike texts may keep one."""
+    return first_of_group(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample segmentations of each text; a document that the mix repeats gets the same ones each time, since they are seeded by doc_id."""
-    return sample_segmentations(docs)
+    """Sample segmentations of each text. Rows that repeat a document, as the mix makes them, are numbered (``pass``), and each gets
+    samples of its own."""
+    return sample_segmentations(numbered_repeats(docs), repeat="pass")
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mix sources", mix), ("sentencepiece", encode)]
@@ -49,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote is removed as soon as its successor has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
