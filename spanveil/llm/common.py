@@ -23,29 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir, or the checkpoint folder that the caller has set. Where both are
+    unset, a temporary one if the session is local (tests); on a cluster that is an error, since executors couldn't read it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanveil-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
+def saved(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and a lost executor costs
-    no more than its running tasks."""
+    no more than its running tasks. ``by``: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanveil-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, bucketed and sorted by ``keys`` into as many buckets as a shuffle has partitions, and
+    read it back: a join with such a table, or of a shuffle by ``keys`` with it, moves no row of it."""
+    spark = df.sparkSession
+    table_name = f"spanveil_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table_name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out._saved_path, out._saved_table = path, table_name
+    return out
+
+
 def forget(df: DataFrame | None) -> None:
-    """Delete what saved() wrote, when no later result depends on it."""
-    path = getattr(df, "_saved_path", None)
+    """Delete what saved() or bucketed() wrote, when no later result depends on it."""
+    path, table_name = getattr(df, "_saved_path", None), getattr(df, "_saved_table", None)
+    if table_name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table_name}")
     if path:
         jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)

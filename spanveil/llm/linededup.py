@@ -1,9 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key, n), sorted by key: n documents hold a line with that key. A new batch is merge-joined with the
-runs; keys whose documents reach the limit are settled, and later batches drop them by an anti-join; the rest of the batch
-becomes a run of the lowest level. When a level has ``fanout`` runs they are merged into one of the next level, so a key is
-rewritten once a level and a batch meets few runs.
+A run is a table of (key, n), bucketed and sorted by key: n documents hold a line with that key. The documents come in batches. Each
+counts its own keys, drops those that are settled by an anti-join with the settled ones, and is merge-joined with the runs; keys
+whose documents reach the limit are settled, and the rest of the batch becomes a run of the lowest level. When a level has
+``fanout`` runs they are merged into one of the next level, so a key is rewritten once a level and a batch meets few runs. All runs
+have the same buckets, so only a batch's own counts are ever moved.
+
+Keys are compared by two 64-bit hashes with different seeds.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import SPACE_CHARS, ascii_lower, forget, saved
+from spanveil.llm.common import SPACE_CHARS, ascii_lower, bucketed, forget, saved
 
 
 def lines_of(text: Column) -> Column:
@@ -25,10 +28,13 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+KEY = ["k1", "k2"]
+
+
 def line_hash(line: Column, min_chars: int) -> Column:
-    """64-bit hash of a line's key; null for keys of fewer than ``min_chars`` code points."""
+    """128 bits of hash of a line's key; null for keys of fewer than ``min_chars`` code points."""
     key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.xxhash64(key))
+    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")))
 
 
 class LineRuns:
@@ -39,21 +45,17 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
 
-    def _run(self, df: DataFrame, name: str) -> DataFrame:
-        return saved(df.sortWithinPartitions("key"), name)
-
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (key, n), each key once."""
-        known = reduce(DataFrame.unionByName, self.settled) if self.settled else None
-        own = batch if known is None else batch.join(known, "key", "left_anti")
-        total = own.withColumn("total", F.col("n"))
+        """``batch``: (k1, k2, n), each key once."""
+        for known in self.settled:
+            batch = batch.join(known, KEY, "left_anti")
+        total = batch.withColumn("total", F.col("n"))
         for k, run in enumerate(r for level in self.levels for r in level):
-            total = total.join(run.select("key", F.col("n").alias(f"n{k}")), "key", "left").withColumn("total", F.col("total") + F.coalesce(f"n{k}", F.lit(0))).drop(f"n{k}")
-        new = self._run(total, "run")
-        self.settled.append(self._run(new.where(F.col("total") >= self.min_docs).select("key"), "settled"))
-        run = new.where(F.col("total") < self.min_docs).select("key", "n")
-        run._saved_path = new._saved_path
-        self._put(0, run)
+            total = total.join(run.select(*KEY, F.col("n").alias(f"n{k}")), KEY, "left").withColumn("total", F.col("total") + F.coalesce(f"n{k}", F.lit(0))).drop(f"n{k}")
+        new = bucketed(total, "batch", KEY)
+        self.settled.append(bucketed(new.where(F.col("total") >= self.min_docs).select(*KEY), "settled", KEY))
+        self._put(0, bucketed(new.where(F.col("total") < self.min_docs).select(*KEY, "n"), "run", KEY))
+        forget(new)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -61,41 +63,46 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             parts, self.levels[level] = self.levels[level], []
-            merged = self._run(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("n").alias("n")), "run")
+            merged = reduce(self._merged, parts)
+            out = bucketed(merged, "run", KEY)
             for p in parts:
                 forget(p)
-            self._put(level + 1, merged)
+            self._put(level + 1, out)
 
-    def frequent(self) -> DataFrame:
-        """Keys that at least ``min_docs`` documents hold, each once."""
-        return reduce(DataFrame.unionByName, self.settled)
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.withColumnRenamed("n", "m"), KEY, "full_outer")
+        return both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
 
-    def close(self) -> None:
+    def frequent(self) -> DataFrame:
+        """Keys that at least ``min_docs`` documents hold, each once, written anew."""
+        out = saved(reduce(DataFrame.unionByName, self.settled), "frequent")
+        for part in self.settled:
+            forget(part)
         for level in self.levels:
             for run in level:
                 forget(run)
+        return out
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(frequent keys, keys of each row). The rows' keys are (doc_id, print, keys): print is a hash of the text, keys the
-    distinct line hashes. Rows are dealt to ``batches`` by their print and pass through the runs batch by batch."""
+    """(frequent keys, keys of each row). The rows' keys are (doc_id, print, batch, keys): print is a hash of the text, keys the
+    distinct line hashes. Rows are dealt to ``batches`` by doc_id and print and pass through the runs batch by batch."""
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("print"), keys.alias("keys")), "lines")
-    each = rows.select(F.pmod(F.xxhash64("doc_id", "print"), batches).alias("batch"), F.explode("keys").alias("key")).groupBy("batch", "key").agg(F.count("*").alias("n"))
-    each = saved(each, "counts")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), keys.alias("keys"))
+    rows = saved(rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "print"), batches).cast("int")), "lines", "batch")
     runs = LineRuns(min_docs)
     for b in range(batches):
-        runs.add(each.where(F.col("batch") == b).select("key", "n"))
-    runs.close()
-    forget(each)
+        runs.add(rows.where(F.col("batch") == b).select(F.inline("keys")).groupBy(*KEY).agg(F.count("*").alias("n")))
     return runs.frequent(), rows
 
 
 def _marked(docs: DataFrame, min_docs: int, min_chars: int, batches: int) -> DataFrame:
-    """``docs`` with _lines, and _drop: their frequent keys (null if none)."""
+    """``docs`` with _lines, and _drop: their frequent keys (null if none). A frequent key is hot by its nature: where the frequent
+    ones are too many to be broadcast, the skew join splits its rows, which are three numbers each."""
     frequent, rows = frequent_lines(docs, min_docs, min_chars, batches)
-    hits = rows.select(F.col("doc_id").alias("_id"), F.col("print").alias("_p"), F.explode("keys").alias("key")).join(frequent, "key")
-    hits = hits.groupBy("_id", "_p").agg(F.collect_set("key").alias("_drop"))
+    hits = rows.select(F.col("doc_id").alias("_id"), F.col("print").alias("_p"), F.inline("keys")).join(frequent, KEY)
+    hits = hits.groupBy("_id", "_p").agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
     out = docs.withColumn("_print", F.xxhash64("text")).join(hits, F.expr("doc_id <=> _id and _print = _p"), "left").drop("_id", "_p", "_print")
     return out.withColumn("_lines", lines_of(F.col("text")))
 
@@ -111,7 +118,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     A line's key is the line without white space at its ends, A-Z in lower case. Keys of at least ``min_chars`` code points
     that at least ``min_docs`` rows hold lose all their lines; the others stay, joined by \\n. Null and empty texts have one
     empty line. Each row counts as a document, rows that repeat a doc_id or a text too. Empty input gives an empty
-    result. Keys are compared by 64-bit hashes. Other columns are ignored."""
+    result. Keys are compared by 128 bits of hash. Other columns are ignored."""
     out = _marked(docs.select("doc_id", "text"), min_docs, min_chars, batches).withColumn("_kept", _kept(min_chars))
     return out.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
 

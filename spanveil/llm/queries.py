@@ -119,12 +119,12 @@ c AS (SELECT d.doc_id, d.size, a.source_size, a.target, a.passes, sum(d.size) OV
 SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN 2 * upto - own <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """,
     "op8_line_dedup": f"""
-WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
-k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON f.key = k.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT r, i, l[i] AS line, {_LOWER.format("trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM d, unnest(range(1, len(l) + 1)) AS t(i)),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON f.key = k.key),
+g AS (SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN g ON d.r = g.r
 """,
     "op9_url_filter": """
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)://(.*)', 1), '') AS rest FROM pages),
