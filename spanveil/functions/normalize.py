@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.functions.lexicons import ORG_SUFFIX_STRENGTH
 from spanveil.functions.validators import compact_clock, only_digits
 
+#: Legal forms that an organization's canonical name loses: the strong ones.
+LEGAL_FORMS = tuple(w for w, s in ORG_SUFFIX_STRENGTH.items() if s == "hard" or w in ("holdings", "group", "company", "co"))
 # Currency words and signs that an amount loses.
 CURRENCY = "USD|RMB|CNY|EUR|GBP|美元|欧元|英镑|元|dollars?|yuan"
 
@@ -81,20 +84,38 @@ def compact(x: Column) -> Column:
 
 
 def organization(x: Column, suffixes: tuple[str, ...]) -> Column:
-    """Compact name without its legal forms: they are taken from the end, one at a time, as long as something else is left. Three
-    passes are enough for forms such as "Group Holdings Co., Ltd."."""
-    one = "(?i)(?<=.)\\s*(" + "|".join(_quoted(s) for s in sorted(suffixes, key=lambda s: (-len(s), s))) + ")\\s*$"
-    for _ in range(3):
-        x = F.regexp_replace(F.trim(x), one, "")
-    return compact(x)
+    """Compact name without its legal forms: they are taken from the end, the longest first, one at a time, as long as something else is left."""
+    one = "(?i)(?<=.)[\\s,.]*(?<![A-Za-z])(" + "|".join(_quoted(s) for s in sorted(suffixes, key=lambda s: (-len(s), s))) + ")[\\s.]*$"
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(x) / 2).cast("int")))  # each takes a form of two characters at least
+    return compact(F.aggregate(steps, F.trim(x), lambda rest, _: F.regexp_replace(F.trim(rest), one, "")))
 
 
 def _quoted(s: str) -> str:
     return "".join("\\" + c if c in r".()&+*?[]{}|^$\-" else c for c in s)
 
 
+def text(x: Column) -> Column:
+    """Compatibility form with single spaces, in lower case; ASCII needs no Python."""
+    plain = x.rlike(r"^[\x00-\x7f]*$")
+    whole = F.when(plain, x).otherwise(nfkc(F.when(~plain, x)))
+    return F.lower(F.trim(F.regexp_replace(whole, r"\s+", " ")))
+
+
+def cleaned(x: Column) -> Column:
+    """A value without separators and sentence ends around it."""
+    return F.regexp_replace(F.regexp_replace(x, r"^[\s,，、:：;；|\-—]+", ""), r"[\s,，、:：;；|。.!！?？\-—]+$", "")
+
+
+def plausible(attr: Column, x: Column) -> Column:
+    """Whether a cleaned value may be of its type: a name has 2 to 6 ideographs or letters in 1 to 4 words and no digit; an organization at least two
+    letters or ideographs; an address a word that only addresses have, or a number."""
+    han, latin = x.rlike(r"^[\u4e00-\u9fff·]{2,6}$"), x.rlike(r"^[A-Za-z][A-Za-z .'’-]{0,79}$") & (F.size(F.split(x, " +")) <= 4)
+    signal = x.rlike(r"[省市区县镇乡村路街巷弄号楼栋幢座室层]|[0-9]|(?i)\b(street|st|avenue|ave|road|rd|blvd|drive|lane|suite|apt|floor)\b")
+    return F.when(attr == "name", han | latin).when(attr == "organization", F.length(F.regexp_replace(x, r"[^\p{L}]", "")) >= 2).when(attr == "address", signal).otherwise(F.length(x) > 0)
+
+
 def canonical(attr: Column, text: Column) -> Column:
-    """Canonical text by attribute type; organizations and addresses need more than a string and are compacted here."""
+    """Canonical text by attribute type; organizations lose their legal forms, addresses need more than a string and are compacted here."""
     return (
         F.when(attr == "email", email(text))
         .when(attr == "phone", phone(text))
@@ -103,6 +124,7 @@ def canonical(attr: Column, text: Column) -> Column:
         .when(attr == "license_plate", plate(text))
         .when(attr == "name", name(text))
         .when(attr == "amount", amount(text))
+        .when(attr == "organization", organization(text, LEGAL_FORMS))
         .when((attr == "time") & (compact_clock(text) != ""), compact_clock(text))
         .otherwise(compact(text))
     )

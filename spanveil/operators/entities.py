@@ -158,30 +158,37 @@ class Session:
     def __init__(self, entities: list[Entity] | None = None):
         self.entities: list[Entity] = entities or []
         self.by_key = {(e.attr, e.canonical): e for e in reversed(self.entities)}
+        self.by_type: dict[str, list[Entity]] = {}
+        for e in self.entities:
+            self.by_type.setdefault(e.attr, []).append(e)
+        self.last = max((e.number for e in self.entities), default=0)
 
     def number(self, attr: str, text: str, canonical: str, components: dict | None = None) -> Entity:
         found = self.by_key.get((attr, canonical)) if attr not in ("name", "organization", "address") else None
         if attr in ("name", "organization", "address"):
             value = {"canonical": canonical if attr != "name" else text, "components": components}
             road = road_of(components)
-            same = [e for e in self.entities if e.attr == attr]
+            same = self.by_type.get(attr, [])
             if attr == "address" and road:
                 same = [e for e in same if road_of(e.components) == road] + [e for e in same if not road_of(e.components)]
             found = next((e for e in same if same_entity(attr, {"canonical": e.canonical if attr != "name" else e.first_text, "components": e.components or None}, value)), None)
         if found is None:
-            found = Entity(max((e.number for e in self.entities), default=0) + 1, attr, canonical, dict(components or {}), text)
+            self.last += 1
+            found = Entity(self.last, attr, canonical, dict(components or {}), text)
             self.entities.append(found)
+            self.by_type.setdefault(attr, []).append(found)
             self.by_key[(attr, canonical)] = found
         else:
             found.take(components)
         return found
 
 
-def placeholder(entity: Entity, text: str) -> str:
+def placeholder(entity: Entity, text: str, components: dict | None = None) -> str:
+    """The placeholder of one value of an entity; its SPEC is of the value's own components."""
     from spanveil.operators.placeholders import CODES
 
     tail = f".LEN={len(text)}" if entity.attr in ("num", "alnum") else ""
-    if entity.attr == "address" and (spec := address_spec(entity.components)):
+    if entity.attr == "address" and (spec := address_spec(components)):
         tail = f".{spec}"
     return f"[[{CODES[entity.attr]}#{entity.number}{tail}]]"
 

@@ -11,17 +11,16 @@ TAG = r"【PII:([A-Z_]+):([^】]*)】(.*?)【/PII】"
 
 
 def read_tagged(df: DataFrame, key: str, text: str = "text_with_tags") -> tuple[DataFrame, DataFrame]:
-    """(texts, known): tagged texts without their tags, and the spans that were tagged (key, entity_type, tag_id, s, e, text)."""
-    marked = F.regexp_replace(text, TAG, "\x01$1\x03$2\x03$3\x02")
-    rows = df.select(key, F.split(marked, "\x01").alias("parts"))
-    clean = lambda p: F.concat(F.element_at(F.split(F.substring_index(p, "\x02", 1), "\x03"), -1), F.when(F.contains(p, F.lit("\x02")), F.substring_index(p, "\x02", -1)).otherwise(""))
-    rows = rows.withColumn("clean", F.transform("parts", clean))
-    texts = rows.select(key, F.array_join("clean", "").alias("text"))
-    each = rows.select(key, F.posexplode("parts").alias("i", "part"), "clean").where("i > 0")
-    tag = F.split(F.substring_index("part", "\x02", 1), "\x03")
-    s = F.aggregate(F.slice("clean", 1, F.col("i")), F.lit(0), lambda n, p: n + F.length(p))
-    known = each.select(key, tag[0].alias("entity_type"), tag[1].alias("tag_id"), s.alias("s"), tag[2].alias("text")).withColumn("e", F.col("s") + F.length("text"))
-    return texts, known.select(key, "entity_type", "tag_id", "s", "e", "text")
+    """(texts, known): tagged texts without their tags, and the spans that were tagged (key, entity_type, tag_id, s, e, text). The text is cut
+    at the tags; no character of it serves as a mark."""
+    found = lambda group: F.regexp_extract_all(text, F.lit(f"(?s){TAG}"), F.lit(group))
+    rows = df.select(key, F.split(text, f"(?s){TAG}", -1).alias("cut"), found(1).alias("types"), found(2).alias("ids"), found(3).alias("values"))
+    between = F.transform("cut", lambda piece, i: F.concat(piece, F.coalesce(F.get("values", i), F.lit(""))))
+    texts = rows.select(key, F.array_join(between, "").alias("text"))
+    each = rows.select(key, F.posexplode("values").alias("i", "text"), "cut", "types", "ids", "values")
+    s = F.aggregate(F.slice("cut", 1, F.col("i") + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice("values", 1, F.col("i")), F.lit(0), lambda n, p: n + F.length(p))
+    known = each.select(key, F.get("types", F.col("i")).alias("entity_type"), F.get("ids", F.col("i")).alias("tag_id"), s.alias("s"), "text")
+    return texts, known.withColumn("e", F.col("s") + F.length("text")).select(key, "entity_type", "tag_id", "s", "e", "text")
 
 
 def judge(gold: DataFrame, found: DataFrame, key: str, generic: tuple[str, ...] = ("num", "alnum")) -> DataFrame:

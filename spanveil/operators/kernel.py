@@ -1,53 +1,47 @@
-"""Names, organizations, addresses and plates: a table of rules over one pass of tokens, in Arrow batches.
+"""Names, organizations, addresses and plates: from clues to runs, from runs to spans, a text at a time in Arrow batches.
 
-The rules are sequential (what a token means depends on the tokens taken before it), so one function reads a document and gives
-its spans; it needs no Spark. A span has a strength; the protection level says which strengths count, and conflicts are
-decided by strength, containment, length and position, in this order.
+One pass finds the terms of lexicon and dictionaries (``functions.matcher``); a sweep decides which clues stand (``operators.clues``); each
+family builds runs around its clues; overlapping runs are decided pair by pair, and a loser may keep what is left of it. Only the
+surroundings of clues are looked at, so a text without any costs one pass of the automaton. Needs no Spark but for ``detect``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import lexicons as lex
+from spanveil.functions.matcher import Matcher
 from spanveil.functions.spans import plain
+from spanveil.operators import address as adr
+from spanveil.operators.clues import BREAK, HARD, SOFT, WEAK, Clue, boosted, distance, negative_effect, resolve, scan
+from spanveil.sources.lexicon import Term, builtin
 
-WEAK, SOFT, HARD = 0, 1, 2
 # Least strength by protection level, for names and for the rest.
 NEEDED = {"strong": (SOFT, SOFT), "balanced": (HARD, HARD), "weak": (HARD, HARD)}
-# How far a suffix looks left, how far a label looks right, in words and in ideographs.
-LEFT_WORDS, LEFT_HAN, NEAR = 4, 6, 6
-
-_alt = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-WORD = r"[A-Z][A-Za-z'’]*"
-_STREET, _UNIT, _PLACE = _alt(lex.STREETS), _alt(lex.UNITS), _alt(lex.PLACES)
-_STATE, _DIR = _alt(lex.STATES), _alt(lex.DIRECTIONS)
-EN_UNIT = rf"(?:(?:{_UNIT})\.?\s*#?\s*[A-Za-z0-9-]+|#\s*[0-9]+[A-Za-z]?)"
-EN_ROAD = rf"[0-9]+[A-Za-z]?\s+(?:(?:{_DIR})\s+)?(?:(?:{WORD}|[0-9]+(?:st|nd|rd|th))\s+){{1,3}}(?i:{_STREET})\b\.?(?:\s+(?:{_DIR})\b)?"
-EN_PLACE = rf"(?:{WORD}\s+){{1,3}}(?i:{_PLACE})\b"
-EN_CITY = rf"(?:{WORD}(?:\s+{WORD}){{0,2}}),?\s+(?:{_STATE})\b(?:\s+[0-9]{{5}}(?:-[0-9]{{4}})?)?"
-EN_ADDRESS = re.compile(rf"(?:(?i:{EN_UNIT})(?:,\s*|\s+))?(?:{EN_ROAD})(?:,\s*(?:{EN_PLACE}|(?i:{EN_UNIT})))*(?:,\s*{EN_CITY})?|(?i:{EN_UNIT}),\s*{EN_CITY}|{EN_PLACE}(?:,\s*{EN_CITY})?|{EN_CITY}")
-_HAN, _NUM = "[一-鿿]", "[0-9一二三四五六七八九十百甲乙丙丁]"
-ZH_ADMIN = rf"(?:(?:{_alt(lex.ZH_PROVINCES)})(?:省|市|自治区)?)?(?:(?:{_alt(lex.ZH_CITIES)})市?|{_HAN}{{2,4}}市)?(?:{_HAN}{{2,6}}?(?:区|县))?"
-ZH_ROAD = rf"{_HAN}{{2,5}}?(?:路|街|大道|巷|弄)(?:{_NUM}+号)?"
-ZH_DETAIL = rf"(?:{_HAN}{{2,6}}?(?:小区|广场|花园|大厦|国际))?(?:{_NUM}+(?:号楼|栋|幢|座|楼))?(?:{_NUM}+单元)?(?:{_NUM}+(?:层|楼))?(?:{_NUM}+(?:室|房|户))?"
-ZH_COUNTRY = rf"(?:[，,]\s*(?:{_alt(c for c in lex.COUNTRIES if ord(c[0]) > 127)}))?"
-ZH_ADDRESS = re.compile(rf"(?:{ZH_ADMIN})(?:{ZH_ROAD})(?:{ZH_DETAIL}){ZH_COUNTRY}|(?:{_alt(lex.ZH_PROVINCES)})(?:省|市){_HAN}{{2,4}}?(?:区|县|市){ZH_COUNTRY}")
-EN_NAME = re.compile(rf"{WORD}(?:[ ’'-]{WORD}|\s[A-Z]\.(?=\s))*")
+# How far an organization reaches to the left of its suffix, to the right of a label, and from a known name to a suffix, in ideographs and words.
+ORG_HAN, ORG_WORDS, ORG_SUFFIX_UNITS, VALUE_HAN, VALUE_WORDS = 6, 4, 10, 6, 2
+#: Fixed value: longest English name, in characters.
+NAME_CHARS = 80
+# Priority of families, and what a score adds for evidence.
+PRIORITY = {"license_plate": 40, "address": 30, "name": 20, "organization": 10}
+SCORE_HARD, SCORE_DICTIONARY, SCORE_LABEL = 0.4, 0.25, 0.08
+LOCALES = ("zh_cn", "en_us", "mixed")
+HAN = re.compile("[㐀-䶿一-鿿]")
+CAPITALS = re.compile(r"[A-Z][A-Za-z]*")
+JOINER = re.compile(r" |['’-]|\. ")
+ORG_JOINER = re.compile(r",? |\. | & |-")
 PLATE = re.compile(rf"[{lex.ZH_PLATES}][A-Za-z][ ·]?[A-Za-z0-9]{{5,6}}(?![A-Za-z0-9])")
-EN_ORG = re.compile(rf"(?:{WORD}(?:\s+(?:&\s+)?|,\s+)){{1,{LEFT_WORDS}}}(?i:{_alt(lex.ORG_SUFFIXES)})\b\.?(?:,?\s+(?i:{_alt(lex.ORG_SUFFIXES)})\b\.?)?")
-ZH_ORG = re.compile(rf"{_HAN}{{2,{LEFT_HAN}}}?(?:{_alt(lex.ZH_ORG_SUFFIXES)})")
-LABEL = re.compile(rf"(?P<label>{_alt(x for v in lex.LABELS.values() for x in v)})\s*[:：]\s*", re.IGNORECASE)
-START = re.compile(rf"(?:(?<![A-Za-z])(?:{_alt(x for x in lex.NAME_STARTS if x.isascii())})\s+|(?:{_alt(x for x in lex.NAME_STARTS if not x.isascii())}))", re.IGNORECASE)
-ZH_NAME = re.compile(rf"(?:{_alt(lex.ZH_COMPOUND)}|[{lex.ZH_SURNAMES}]){_HAN}{{1,2}}")
-BREAK = re.compile(r"[;；。！？!?]|(?:\r?\n){2,}|<OCR_BREAK>")
-_ATTR_OF = {x: a for a, words in lex.LABELS.items() for x in words}
+SEPARATOR = re.compile(r"[ \t:：\-]*")
+VALUE_END = re.compile(r"[\n,，;；。！？!?]")
+LINE_END = re.compile(r"[\n;；。！？!?]")
+STOP_WORDS = frozenset((*lex.NOT_NAMES, *lex.DETERMINERS, *lex.COPULAS, *lex.EN_KEYS["poi"], *lex.EN_KEYS["road"][:8]))
 
 
 @dataclass(frozen=True)
@@ -57,167 +51,502 @@ class Span:
     attr: str
     strength: int
     by: str
-
-
-def _trim(text: str, s: int, e: int) -> tuple[int, int]:
-    while s < e and text[s] in " ,，.:：\t\n":
-        s += 1
-    while e > s and text[e - 1] in " ,，:：\t\n":
-        e -= 1
-    return s, e
-
-
-def _english_name(text: str, m: re.Match) -> Span | None:
-    words = re.findall(r"[A-Za-z]+", m[0])
-    while words and words[0].lower() in lex.NOT_NAMES:
-        words = words[1:]
-    if not words:
+    source: str = "lexicon"
+    labelled: bool = False
+    components: tuple = field(default=(), compare=False)
+
+    @property
+    def score(self) -> float:
+        return SCORE_HARD * (self.strength == HARD) + SCORE_DICTIONARY * (self.source != "lexicon") + SCORE_LABEL * self.labelled
+
+
+def _han(text: str, i: int) -> bool:
+    return 0 <= i < len(text) and bool(HAN.match(text, i))
+
+
+def locale_of(text: str, clue: Clue) -> str:
+    """Script around a clue: of a label the first units to its right, of others their own, else that of some characters on both sides."""
+    probe = text[clue.e : clue.e + 6] if clue.seed else clue.text
+    if not clue.seed and not probe.isascii():
+        return "zh_cn"
+    if HAN.search(probe):
+        return "zh_cn"
+    if re.search("[A-Za-z]", probe):
+        return "en_us"
+    return "zh_cn" if HAN.search(text[max(0, clue.s - 8) : clue.e + 8]) else "en_us"
+
+
+# Names
+
+
+def _words_right(text: str, at: int, limit: int, stop: frozenset = STOP_WORDS) -> int:
+    """End of the capitalized words that go on from a word's end over joiners."""
+    while True:
+        j = JOINER.match(text, at)
+        m = CAPITALS.match(text, j.end()) if j else None
+        if not m or m.end() > limit or m[0].lower() in stop or not (m[0][1:].islower() or len(m[0]) == 1 or not m[0][1:].isupper()):
+            return at
+        at = m.end()
+
+
+def _words_left(text: str, at: int, floor: int, stop: frozenset = STOP_WORDS, joiner: re.Pattern = JOINER, most: int = 8) -> int:
+    """Start of the capitalized words that come before a word's start."""
+    for _ in range(most):
+        k = at
+        while k > floor and not (text[k - 1].isascii() and text[k - 1].isalnum()) and at - k < 3:
+            k -= 1
+        j = k
+        while j > floor and text[j - 1].isascii() and text[j - 1].isalpha():
+            j -= 1
+        if j == k or k == at or not joiner.fullmatch(text, k, at) or not CAPITALS.fullmatch(text, j, k) or text[j:k].lower() in stop:
+            break
+        at = j
+    return at
+
+
+def _english_name(text: str, s: int, e: int, clues: list[Clue], floor: int, by: str, seed: bool) -> Span | None:
+    s2 = s if seed else _words_left(text, s, max(floor, e - NAME_CHARS))
+    e2 = _words_right(text, e, s2 + NAME_CHARS)
+    words = re.findall("[A-Za-z]+", text[s2:e2])
+    own = [c for c in clues if c.family == "name" and c.role in ("family", "given", "full", "alias") and s2 <= c.s and c.e <= e2]
+    source = next((c.source for c in own if c.source != "lexicon"), "lexicon")
+    if seed:
+        return Span(s2, e2, "name", HARD, by, source, True) if len(words) >= 2 or own else None
+    known = {c.s for c in own}
+    if source != "lexicon":
+        return Span(s2, e2, "name", max(c.strength for c in own), "dictionary", source)
+    if len(words) > 4:
         return None
-    s = m.start() + m[0].find(words[0])
-    known = sum(w.lower() in lex.GIVEN for w in words[:-1]) + sum(w.lower() in lex.SURNAMES for w in words[1:])
-    if len(words) > 4 or words[-1].lower() in lex.PLACES or any(w.lower() in lex.NOT_NAMES for w in words):
-        return None
-    if len(words) >= 2 and known >= 2:
-        return Span(s, m.end(), "name", HARD, "given_and_family")
-    if len(words) >= 2 and known == 1:
-        return Span(s, m.end(), "name", SOFT, "given_or_family")
-    if len(words) == 1 and words[0].lower() in lex.GIVEN:
-        return Span(s, m.end(), "name", WEAK, "given")
+    if len(known) >= 2:
+        return Span(s2, e2, "name", HARD, "given_and_family")
+    if len(words) >= 2:
+        return Span(s2, e2, "name", max(SOFT, own[0].strength), "given_or_family")
+    if own[0].role == "given":
+        return Span(s2, e2, "name", max(WEAK, own[0].strength - 1), "given")
     return None
 
 
-def _labelled(text: str) -> Iterator[Span]:
-    """Values after labels and name starts: up to the next break, label or line end; their strength is hard."""
-    for m in LABEL.finditer(text):
-        attr = _ATTR_OF.get(m["label"].lower())
-        rest = text[m.end() :]
-        cut = min((x.start() for x in (BREAK.search(rest), re.search(r"[\n,，]", rest) if attr == "name" else re.search(r"\n", rest), LABEL.search(rest)) if x), default=len(rest))
-        s, e = _trim(text, m.end(), m.end() + cut)
-        if attr in ("name", "organization", "address") and 0 < e - s <= 80:
-            yield Span(s, e, attr, HARD, "label")
-    for m in START.finditer(text):
-        n = ZH_NAME.match(text, m.end()) or EN_NAME.match(text, m.end())
-        if n and (n[0][0] > "　" or not any(w.lower() in lex.NOT_NAMES for w in n[0].split())):
-            yield Span(m.end(), n.end(), "name", HARD, "start")
-
-
-def _address_strength(value: str, zh: bool) -> int:
-    """Hard with a number at a road, or with two parts; soft with one."""
-    if zh:
-        parts = len(re.findall(r"[省市区县路街巷弄号楼栋座层室户房]|大道", value))
-        return HARD if "号" in value or parts >= 2 else SOFT
-    parts = value.count(",") + bool(re.match(r"[0-9]", value)) + bool(re.search(r"[0-9]{5}$", value))
-    return HARD if re.search(rf"(?i)^(?:.*\s)?[0-9]+[A-Za-z]?\s.*\b({_STREET})\b", value) or parts >= 1 else SOFT
-
-
-def scan(text: str) -> list[Span]:
-    """All spans that a rule proposes, before conflicts."""
-    out = list(_labelled(text))
-    out += [Span(m.start(), m.end(), "license_plate", HARD, "prefix") for m in PLATE.finditer(text)]
-    for pattern, zh in ((EN_ADDRESS, False), (ZH_ADDRESS, True)):
-        for m in pattern.finditer(text):
-            s, e = _trim(text, m.start(), m.end())
-            before = text[:s].rstrip().rsplit(None, 1)[-1:] if not zh else []
-            value = text[s:e]
-            if zh:
-                known_place = value.startswith((*lex.ZH_CITIES, *lex.ZH_PROVINCES))
-                for surname in () if known_place else (*lex.ZH_COMPOUND, *lex.ZH_SURNAMES):  # a surname before a road isn't part of it
-                    if value.startswith(surname) and len(surname) < len(value) and not re.match(rf"{re.escape(surname)}{_HAN}?(?:路|街)", value) and re.search(r"^.{1,2}(.{2,5}?)(路|街)", value):
-                        if len(surname) == 2:
-                            out.append(Span(s, s + 2, "name", HARD, "family"))
-                        s += len(surname)
-                        value = text[s:e]
-                        break
-            if before and before[0].lower() in lex.DETERMINERS and not value[:1].isdigit():
+def _zh_name(text: str, c: Clue, clues: list[Clue], negatives: list[tuple[int, int]], labelled: bool) -> Span | None:
+    """A surname and its tail: an explicit given name, else up to two ideographs; alone between others than ideographs it gains a step."""
+    given = next((x for x in clues if x.family == "name" and x.role == "given" and x.s == c.e), None)
+    if given:
+        e = given.e
+    else:
+        e = c.e
+        while e < c.e + 2 and _han(text, e):
+            e += 1
+        if e < len(text) and _han(text, e) and not labelled:
+            return None  # the tail runs on: where the name ends is unknown
+    if e == c.e:
+        return None
+    strength = HARD if labelled or given else c.strength
+    after = negative_effect(c.s, e, strength, negatives)
+    if after is None:
+        return None
+    if after == SOFT and not _han(text, c.s - 1) and not _han(text, e):
+        after = HARD
+    return Span(c.s, e, "name", after, "label" if labelled else "family", c.source, labelled)
+
+
+def name_runs(text: str, clues: list[Clue], locale: str, addresses: list[Span]) -> Iterator[Span]:
+    """After labels and starts, and around names that are known. A compound surname right before an address is a name by itself."""
+    at_address = {x.s for x in addresses}
+    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("name", "ui")]
+    floors = [c.e for c in clues if c.seed]
+    names = [c for c in clues if c.family == "name" and c.role in ("family", "given", "full", "alias")]
+    by_start: dict[int, list[Clue]] = {}
+    for c in names:
+        by_start.setdefault(c.s, []).append(c)
+    for seed in clues:
+        if not seed.seed or seed.attr not in ("name",):
+            continue
+        at = SEPARATOR.match(text, seed.e).end()
+        if at >= len(text):
+            continue
+        by = "start" if seed.role == "start" else "label"
+        starts = sorted(by_start.get(at, ()), key=lambda c: (c.role != "full", c.role != "family", c.s - c.e))
+        if _han(text, at) and locale != "en_us":
+            if starts and starts[0].role in ("full", "alias"):
+                yield Span(at, starts[0].e, "name", HARD, by, starts[0].source, True)
+            elif starts and starts[0].role == "family" and (run := _zh_name(text, starts[0], names, negatives, True)):
+                yield replace(run, by=by)
+            else:
+                e = at
+                while e < at + 4 and _han(text, e):
+                    e += 1
+                if 2 <= e - at and not _han(text, e) and by == "label" and negative_effect(at, e, HARD, negatives) is not None:
+                    yield Span(at, e, "name", HARD, by, labelled=True)
+        elif locale != "zh_cn":
+            m = CAPITALS.match(text, at)
+            if m and m[0].lower() not in STOP_WORDS and (run := _english_name(text, at, m.end(), names, at, by, True)):
+                yield run
+    done = -1
+    for c in names:
+        if not c.text.isascii():
+            if locale == "en_us":
                 continue
-            if e - s > 1:
-                out.append(Span(s, e, "address", _address_strength(value, zh), "pattern"))
-    out += [Span(m.start(), m.end(), "organization", HARD, "suffix") for m in EN_ORG.finditer(text)]
-    out += [Span(m.start(), m.end(), "organization", HARD if len(m[0]) > 4 else SOFT, "suffix") for m in ZH_ORG.finditer(text)]
-    for m in EN_NAME.finditer(text):
-        span = _english_name(text, m)
-        if span:
-            out.append(span)
-    for m in ZH_NAME.finditer(text):
-        alone = (m.start() == 0 or not "一" <= text[m.start() - 1] <= "鿿") and (m.end() == len(text) or not "一" <= text[m.end()] <= "鿿")
-        if alone:
-            out.append(Span(m.start(), m.end(), "name", HARD, "isolated"))
-    for word in lex.COUNTRIES:
-        if word.isascii():
-            out += [Span(m.start(), m.end(), "address", WEAK, "country") for m in re.finditer(rf"(?<![A-Za-z]){re.escape(word)}(?![A-Za-z])", text, re.IGNORECASE) if m[0][0].isupper()]
-    labels = [m.span("label") for m in LABEL.finditer(text)]
-    return [x for x in out if not any(x.s < e and s < x.e for s, e in labels)]
-
-
-def raised(text: str, spans: list[Span]) -> list[Span]:
-    """A weak span within NEAR characters' worth of words after a label word of its type, without a break between, gains strength: two
-    steps within half of that distance, else one."""
-    out = []
+            if c.role in ("full", "alias") or (c.role == "given" and c.source != "lexicon"):
+                after = negative_effect(c.s, c.e, c.strength, negatives)
+                if after is not None:
+                    yield Span(c.s, c.e, "name", after, "dictionary", c.source)
+            elif c.role == "family" and c.e in at_address and len(c.text) == 2:
+                yield Span(c.s, c.e, "name", HARD, "family", c.source)
+            elif c.role == "family" and (run := _zh_name(text, c, names, negatives, False)):
+                yield run
+        elif locale != "zh_cn" and c.s >= done and text[c.s : c.e].lower() not in STOP_WORDS:
+            floor = max((f for f in floors if f <= c.s), default=0)
+            run = _english_name(text, c.s, c.e, names, floor, "clue", False)
+            if run:
+                done = run.e
+                yield run
+
+
+# Organizations
+
+
+def _org_left(text: str, c: Clue, floor: int) -> int:
+    if not c.text.isascii():
+        s = c.s
+        while s > max(floor, c.s - ORG_HAN) and _han(text, s - 1):
+            s -= 1
+        return s
+    return _words_left(text, c.s, floor, frozenset(lex.DETERMINERS), ORG_JOINER, ORG_WORDS)
+
+
+def org_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
+    """From suffixes to the left, from known names to a suffix on their right, and after labels."""
+    suffixes = [c for c in clues if c.family == "organization" and c.role == "suffix"]
+    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr == "organization"]
+    floors = [c.e for c in clues if c.seed]
+    for c in suffixes:
+        if (locale == "en_us" and not c.text.isascii()) or (locale == "zh_cn" and c.text.isascii()):
+            continue
+        s = _org_left(text, c, max((f for f in floors if f <= c.s), default=0))
+        if s == c.s or any(a < c.e and c.s < b for a, b in negatives):
+            continue
+        e = c.e + (text[c.e : c.e + 1] == "." and c.text.isascii())
+        nxt = next((x for x in suffixes if x.s >= e and x.text.isascii() and re.fullmatch(r",? ", text[e : x.s])), None)
+        if nxt:
+            e = nxt.e + (text[nxt.e : nxt.e + 1] == ".")
+        if c.text.isascii() and c.text[0].islower() and c.strength < HARD:
+            continue  # an ordinary word after a capitalized one
+        strength = c.strength if c.strength == HARD or not c.text.isascii() and c.s - s < 2 else min(HARD, c.strength + (1 if c.s - s >= 2 else 0))
+        yield Span(s, e, "organization", strength, "suffix")
+    for c in clues:
+        if c.family == "organization" and c.role in ("value", "alias", "full"):
+            most = VALUE_HAN if not c.text.isascii() else VALUE_WORDS * 2
+            tail = next((x for x in suffixes if x.s >= c.e and distance(text, c.e, x.s, most) is not None), None)
+            yield Span(c.s, tail.e if tail else c.e, "organization", c.strength, "dictionary" if c.source != "lexicon" else "known", c.source)
+        elif c.seed and c.attr == "organization":
+            at = SEPARATOR.match(text, c.e).end()
+            stop = VALUE_END.search(text, at)
+            end = stop.start() if stop else len(text)
+            tail = next((x for x in suffixes if x.s >= at and x.e <= end and len(re.findall(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", text[at : x.s])) <= ORG_SUFFIX_UNITS), None)
+            if tail:
+                yield Span(at, tail.e, "organization", HARD, "label", labelled=True)
+            elif _han(text, at):
+                e = at
+                while e < min(end, at + ORG_HAN) and _han(text, e):
+                    e += 1
+                if e - at >= 2:
+                    yield Span(at, e, "organization", HARD, "label", labelled=True)
+            elif m := CAPITALS.match(text, at):
+                e, n = m.end(), 1
+                while n < ORG_WORDS and (j := re.compile(" ").match(text, e)) and (w := CAPITALS.match(text, j.end())) and w.end() <= end:
+                    e, n = w.end(), n + 1
+                if n >= 2:
+                    yield Span(at, e, "organization", HARD, "label", labelled=True)
+
+
+# Addresses
+
+
+def _regions(text: str, clues: list[Clue]) -> list[tuple[int, int]]:
+    """Stretches around address clues in which an address may lie: some words to the left, to the right as far as pieces go on."""
+    out: list[list[int]] = []
+    for c in clues:
+        if c.family != "address" or c.source != "lexicon":
+            continue
+        if c.text.isascii():
+            if c.role == "key" and c.component[0] in ("road", "poi"):
+                k = c.s - 1
+                while k > 0 and text[k] in " \t":
+                    k -= 1
+                j = k
+                while j > 0 and text[j - 1].isascii() and (text[j - 1].isalnum() or text[j - 1] in "'’"):
+                    j -= 1
+                if j >= c.s - 1 or not (text[j].isupper() or text[j].isdigit()):
+                    continue
+            elif c.role == "key" and not re.compile(r"\.?[ \t]*#?[ \t]*[0-9A-Z]").match(text, c.e):
+                continue
+            elif c.component[0] == "province" and len(c.text) == 2 and not re.compile(r"[A-Za-z],?[ \t]+").search(text, max(0, c.s - 4), c.s):
+                continue
+        lo = c.s
+        for _ in range(12):
+            m = re.compile(r"[A-Za-z0-9'’#.-]+,?[ \t]+$").search(text, max(0, lo - 48), lo) if c.text.isascii() else None
+            if not m:
+                break
+            lo = m.start()
+        if not c.text.isascii():
+            lo = max(0, c.s - 24)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], c.e)
+        else:
+            out.append([lo, c.e])
+    return [(lo, hi) for lo, hi in out]
+
+
+def address_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
+    labels = [(c.s, c.e) for c in clues if c.role in ("label", "start", "inspire")]
+    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("address", "ui")]
+    found: dict[tuple[int, int], adr.Address] = {}
+    for lo, hi in _regions(text, clues):
+        reach = 64
+        while True:  # as far as the pattern goes on
+            end = min(len(text), hi + reach)
+            got = adr.find_addresses(text, lo, end)
+            if end == len(text) or not got or got[-1].e < end - 40:
+                break
+            reach *= 4
+        for a in got:
+            found[a.s, a.e] = a
+    for (s, e), a in sorted(found.items()):
+        zh = any(HAN.search(c.text) for c in a.components)
+        if (zh and locale == "en_us") or (not zh and locale == "zh_cn") or any(s < y and x < e for x, y in labels):
+            continue
+        tail = [(x, y) for x, y in negatives if x < e and s < y]
+        if tail:
+            last = a.components[-1]
+            k = text.rfind(last.key or last.value, s, e)
+            if any(x < e and k < y for x, y in tail):  # the rightmost component is a word of its own: the address ends before it
+                cut = text.rfind(last.value, s, e)
+                kept = a.components[:-1]
+                if not kept or cut <= s:
+                    continue
+                a = replace_address(a, s, adr._trim(text, s, cut)[1], kept)
+                e = a.e
+        labelled = any(y <= s and not re.search(r"[^\s:：]", text[y:s]) for x, y in labels)
+        yield Span(a.s, a.e, "address", HARD if labelled else a.strength, "label" if labelled else "pattern", "lexicon", labelled, tuple(a.components))
+    for c in clues:
+        if c.family == "address" and c.role in ("value", "full") and c.source != "lexicon":
+            kind = c.component[0] if c.component else "detail"
+            yield Span(c.s, c.e, "address", c.strength, "dictionary", c.source, False, (adr.Component(kind, c.text),))
+        elif c.family == "address" and c.component == ("country",):
+            yield Span(c.s, c.e, "address", WEAK, "country", components=(adr.Component("country", c.text),))
+        elif c.seed and c.attr == "address":
+            at = SEPARATOR.match(text, c.e).end()
+            stop = LINE_END.search(text, at)
+            s, e = adr._trim(text, at, stop.start() if stop else len(text))
+            if any(a < e and s < b for a, b in found):
+                continue  # the pattern knows where it ends
+            if e > s and any(x.family == "address" and x.role == "value" and s <= x.s and x.e <= e for x in clues):
+                yield Span(s, e, "address", HARD, "label", "lexicon", True, tuple(adr.parse_address(text[s:e])))
+
+
+def replace_address(a: adr.Address, s: int, e: int, components: list[adr.Component]) -> adr.Address:
+    return adr.Address(s, e, components, adr.strength_of(components))
+
+
+def absorbed(text: str, spans: list[Span]) -> list[Span]:
+    """Neighbouring addresses with only commas and spaces between become one if no type would come twice, or if the second one's parts are
+    among the first one's (P-9)."""
+    out: list[Span] = []
     for x in spans:
-        words = lex.LABELS.get(x.attr, ())
-        left = text[max(0, x.s - 40) : x.s]
-        left = left[max((m.end() for m in BREAK.finditer(left)), default=0) :]
-        units = re.findall(r"[A-Za-z]+|[一-鿿]+|[0-9]+", left.lower())[-NEAR:]
-        near = next((k for k, u in enumerate(reversed(units)) if u in words), None)
-        gain = 0 if near is None or x.attr == "address" else 2 if near < NEAR // 2 else 1
-        out.append(Span(x.s, x.e, x.attr, min(HARD, x.strength + gain), x.by))
+        if out and x.attr == out[-1].attr == "address" and x.s >= out[-1].e and re.fullmatch(r"[ ,，]{0,3}", text[out[-1].e : x.s]):
+            a, b = out[-1].components, x.components
+            types = {c.type for c in a} - {"poi"}
+            if not types & {c.type for c in b} or {(c.type, c.text) for c in b} <= {(c.type, c.text) for c in a}:
+                parts = a if {(c.type, c.text) for c in b} <= {(c.type, c.text) for c in a} else a + b
+                out[-1] = replace(out[-1], e=x.e, strength=max(out[-1].strength, x.strength, adr.strength_of(list(parts))), components=parts)
+                continue
+        out.append(x)
     return out
 
 
-def resolve(spans: list[Span], taken: list[tuple[int, int]], protection: str) -> list[Span]:
-    """Disjoint spans: plates first, then strength, containment (longer), names before others, position. ``taken`` are structured
-    spans; what starts or ends inside one of them and isn't a plate or an address around it is dropped."""
-    name_least, other_least = NEEDED[protection]
-    good = [x for x in spans if x.strength >= (name_least if x.attr == "name" else other_least)]
-    good.sort(key=lambda x: (x.attr != "license_plate", -x.strength, x.s - x.e, x.attr != "name", x.s))
+# Conflicts
+
+
+def trimmed(text: str, x: Span, s: int, e: int) -> Span | None:
+    """What is left of a run outside (s, e), rebuilt: a name must hold more than a surname, an address parts, an organization its suffix."""
+    parts = [(x.s, min(x.e, s)), (max(x.s, e), x.e)]
+    a, b = max(parts, key=lambda p: p[1] - p[0])
+    a, b = adr._trim(text, a, b)
+    rest = text[a:b]
+    if b - a < 2:
+        return None
+    if x.attr == "name":
+        if HAN.search(rest):
+            return replace(x, s=a, e=b) if a == x.s and rest not in lex.ZH_COMPOUND else None
+        words = rest.split()
+        return replace(x, s=a, e=b) if len(words) >= 2 or words[0].lower() in lex.GIVEN else None
+    if x.attr == "address":
+        components = adr.parse_address(rest)
+        return replace(x, s=a, e=b, components=tuple(components), strength=adr.strength_of(components)) if components else None
+    return replace(x, s=a, e=b) if x.attr == "organization" and any(rest.lower().rstrip(".").endswith(w) for w in lex.ORG_SUFFIX_STRENGTH) else None
+
+
+def beats(a: Span, b: Span) -> bool:
+    """Whether ``a`` wins over an overlapping ``b``: plates; a container, unless what it holds is stronger evidence of a name in an organization; of one type
+    the stronger and longer; hard before soft; organizations by suffix before addresses; score; priority of the family."""
+    if (a.attr == "license_plate") != (b.attr == "license_plate"):
+        return a.attr == "license_plate"
+    inside, around = a.s <= b.s and b.e <= a.e, b.s <= a.s and a.e <= b.e
+    if inside != around:
+        return inside
+    if a.s == b.s and a.e == b.e and a.attr != b.attr:
+        return (a.strength, a.attr == "name", PRIORITY[a.attr]) > (b.strength, b.attr == "name", PRIORITY[b.attr])
+    if a.attr == b.attr:
+        return (a.strength, a.e - a.s, a.score, -a.s) >= (b.strength, b.e - b.s, b.score, -b.s)
+    if a.strength != b.strength:
+        return a.strength > b.strength
+    if {a.attr, b.attr} == {"organization", "address"} and "suffix" in (a.by, b.by):
+        return a.attr == "organization"
+    return (a.score, PRIORITY[a.attr]) >= (b.score, PRIORITY[b.attr])
+
+
+def settle(text: str, runs: list[Span]) -> list[Span]:
+    """Disjoint spans from left to right: a run meets those it overlaps; losers shrink or go, and what is left of them competes again."""
+    todo = sorted(set(runs), key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
     out: list[Span] = []
-    for x in good:
-        if any(x.s < o.e and o.s < x.e for o in out):
-            continue
-        if x.attr not in ("address", "license_plate") and any(x.s < e and s < x.e for s, e in taken):
-            continue
-        if x.attr == "address" and any(s < x.s < e or s < x.e < e or (s <= x.s and x.e <= e) for s, e in taken):
+    while todo:
+        x = todo.pop()
+        clash = [o for o in out[-6:] if o.s < x.e and x.s < o.e]
+        if not clash:
+            out.append(x)
             continue
-        out.append(x)
+        o = clash[0]
+        win, lose = (x, o) if beats(x, o) else (o, x)
+        rest = trimmed(text, lose, win.s, win.e) if lose.attr != win.attr else None
+        if win is x:
+            out.remove(o)
+            todo.append(x)
+            if rest:
+                todo.append(rest)
+            todo.sort(key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
+        elif rest:
+            todo.append(rest)
+            todo.sort(key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
     return sorted(out, key=lambda x: x.s)
 
 
-def detect_text(text: str | None, taken: list[tuple[int, int]] = (), protection: str = "strong") -> list[Span]:
+#: Structured kinds that are only generic fragments: an address or plate may hold them.
+GENERIC = ("num_fragment", "alnum_fragment", "num", "alnum")
+
+
+def outside_taken(text: str, spans: list[Span], taken: list[tuple[int, int, str]]) -> list[Span]:
+    """Spans against structured entities: names and organizations lose, addresses and plates keep generic fragments inside them; an
+    address that runs into a validated entity ends before it."""
+    out = []
+    for x in spans:
+        hits = [(s, e, k) for s, e, k in taken if s < x.e and x.s < e]
+        if x.attr in ("address", "license_plate"):
+            hits = [(s, e, k) for s, e, k in hits if k not in GENERIC or (s <= x.s and x.e <= e) or (s < x.s < e) or (s < x.e < e)]
+            if x.attr == "address" and hits and hits[0][0] > x.s:
+                rest = trimmed(text, x, hits[0][0], x.e)
+                hits, x = ([], rest) if rest else (hits, x)
+        if not hits:
+            out.append(x)
+    return out
+
+
+@lru_cache(maxsize=4)
+def _lexicon_matcher() -> Matcher:
+    return Matcher.of((t.text, t) for t in builtin())
+
+
+def _taken(taken) -> list[tuple[int, int, str]]:
+    return [(t[0], t[1], t[2] if len(t) > 2 else "num") for t in taken]
+
+
+def detect_text(text: str | None, taken=(), protection: str = "strong", locale: str = "mixed", matchers: tuple[Matcher, ...] = ()) -> list[Span]:
+    """Spans of a text. ``taken``: structured entities (s, e, kind). ``matchers``: of dictionaries, beside the lexicon's (or instead, if
+    the first one holds a lexicon of the caller's). An unknown protection level counts as strong; an unknown locale is an error."""
+    if locale not in LOCALES:
+        raise ValueError(f"no locale {locale!r}")
     if not text:
         return []
     protection = protection if protection in NEEDED else "strong"
-    return resolve(raised(text, scan(text)), list(taken), protection)
-
-
-FOUND = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("attr_type", pa.string()), ("strength", pa.int32()), ("found_by", pa.string())]))
-FOUND_DDL = "array<struct<s:int,e:int,text:string,attr_type:string,strength:int,found_by:string>>"
-# What every span that counts must hold, rule by rule, from the same lists; Java's \s lacks what Python's has besides.
-_SP = r"[\s\x1c-\x1f\x85\p{Z}]"
-_ENDS = _alt({*lex.STREETS, *lex.PLACES, *lex.ORG_SUFFIXES})
-_VALUED = _alt(x for a in ("name", "organization", "address") for x in lex.LABELS[a])
-#: Texts without any of it never reach Python: an ideograph; a label and its colon; a name start before a capital; a capitalized word or a
-#: street's number before a street, place, suffix or state; a given or family name that starts with a capital or follows an apostrophe.
-NEEDS = (
-    rf"{_HAN}|(?iu:{_VALUED}){_SP}*[:：]|(?iu:{_alt(x for x in lex.NAME_STARTS if x.isascii())}){_SP}+[A-Z]"
-    rf"|(?:{WORD}|[0-9](?:st|nd|rd|th))(?:,|{_SP}+&)?{_SP}+(?:(?iu:{_ENDS})|{_STATE})"
-    rf"|(?:(?=[A-Z])|(?<=['’]))(?i:{_alt({*lex.GIVEN, *lex.SURNAMES})})(?![A-Za-z])"
-)
-
-
-def detect(df: DataFrame, key: str = "doc_id", text: str = "text", protection: str = "strong", hard: bool = True) -> DataFrame:
-    """(key, s, e, text, attr_type, strength, found_by): names, organizations, addresses and plates of each text, outside of its
-    structured spans if ``hard``."""
-    from spanveil.operators.structured import hard_spans
-
-    rows = df.where(plain(F.col(text)).rlike(NEEDS)).select(key, F.col(text).alias("text"))
-    rows = hard_spans(rows) if hard else rows.withColumn("hard", F.array().cast("array<struct<s:int,e:int,text:string,kind:string>>")).withColumn("plain_text", F.col("text"))
-    rows = rows.select(key, "plain_text", F.transform("hard", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("taken"))
+    taken = _taken(taken)
+    clues = [c for m in (matchers or (_lexicon_matcher(),)) for c in scan(text, m)]
+    useful = [c for c in clues if c.role not in ("negative", "inspire") and c.family != "control" and (c.family != "label" or c.attr in NEEDED_LABELS)]
+    plates = [Span(m.start(), m.end(), "license_plate", HARD, "prefix") for m in PLATE.finditer(text)] if not text.isascii() else []
+    if not useful and not plates:
+        return []
+    active = [(s, e) for s, e, k in taken if k not in GENERIC]
+    clues = boosted(text, resolve(text, sorted(clues, key=lambda c: (c.s, c.e)), active))
+    addresses = list(address_runs(text, clues, locale))
+    runs = [*plates, *name_runs(text, clues, locale, addresses), *org_runs(text, clues, locale), *addresses]
+    runs = [x for x in runs if not _broken(text, x)]
+    name_least, other_least = NEEDED[protection]
+    good = [x for x in runs if x.strength >= (name_least if x.attr == "name" else other_least)]
+    return outside_taken(text, absorbed(text, settle(text, good)), taken)
+
+
+NEEDED_LABELS = ("name", "organization", "address")
+
+
+def _broken(text: str, x: Span) -> bool:
+    return bool(BREAK.search(text, x.s, x.e))
+
+
+FOUND = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("attr_type", pa.string()), ("strength", pa.int32()), ("found_by", pa.string()), ("components", pa.map_(pa.string(), pa.string())), ("metadata", pa.map_(pa.string(), pa.list_(pa.string())))]))
+FOUND_DDL = "array<struct<s:int,e:int,text:string,attr_type:string,strength:int,found_by:string,components:map<string,string>,metadata:map<string,array<string>>>>"
+TERM_DDL = "array<struct<text:string,attr_type:string,role:string,component:string,strength:int,source:string>>"
+
+
+def _row(text: str, x: Span) -> dict:
+    parts = adr.Address(x.s, x.e, list(x.components)).parts() if x.components else {}
+    meta = {"matched_by": [x.by], **({k: v for k, v in adr.trace(list(x.components)).items() if v} if x.components else {})}
+    return {"s": x.s, "e": x.e, "text": text[x.s : x.e], "attr_type": x.attr, "strength": x.strength, "found_by": x.by, "components": list(parts.items()), "metadata": list(meta.items())}
+
+
+def terms_of(rows: list[dict] | None) -> tuple[Term, ...]:
+    """Dictionary entries as terms; a strength below 0 is decided by length."""
+    return tuple(Term(r["text"], r["attr_type"], r["role"] or "full", -1 if r["strength"] is None else r["strength"], r["component"] or "", "", r["source"] or "local") for r in rows or ())
+
+
+@lru_cache(maxsize=256)
+def _matcher_of(terms: tuple[Term, ...]) -> Matcher:
+    return Matcher.of((t.text, t) for t in terms)
+
+
+def detect(df: DataFrame, key: str = "doc_id", text: str = "text", protection: str = "strong", hard: bool = True, locale: str = "mixed", terms: str | None = None, local: DataFrame | None = None, lexicon: list[Term] | None = None) -> DataFrame:
+    """(key, s, e, text, attr_type, strength, found_by, components, metadata): names, organizations, addresses and plates of each text,
+    outside of its structured entities if ``hard``.
+
+    ``terms``: a column of dictionary entries of the row's own (session), see TERM_DDL. ``local``: entries for all rows; they go to
+    every task if ``dictionary.fits`` measures them small enough, else each text's entries are found by a join first. ``lexicon``: terms instead of
+    the library's own."""
+    from spanveil.operators import dictionary
+    from spanveil.operators.structured import candidates_of
+
+    rows = df.select(key, F.col(text).alias("text"), *([F.col(terms).alias("own")] if terms else []))
+    shared: tuple[Term, ...] = ()
+    if local is not None:
+        if dictionary.fits(local):
+            shared = terms_of([r.asDict() for r in local.select("text", "attr_type", "role", "component", "strength", "source").collect()])
+        else:
+            rows = dictionary.attach(rows, local, key, "own")
+            terms = "own"
+    if not terms:
+        rows = rows.withColumn("own", F.array().cast(TERM_DDL))
+    if hard:
+        rows = candidates_of(rows, "taken")
+    else:
+        rows = rows.withColumn("plain_text", plain(F.col("text"))).withColumn("taken", F.array().cast("array<struct<s:int,e:int,kind:string>>"))
+    rows = rows.select(key, "plain_text", "taken", "own")
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (Matcher.of((t.text, t) for t in lexicon) if lexicon is not None else _lexicon_matcher(),)
+        if shared:
+            base = (*base, _matcher_of(shared))
         for batch in batches:
-            texts, taken = batch.column("plain_text").to_pylist(), batch.column("taken").to_pylist()
-            found = [[{"s": x.s, "e": x.e, "text": t[x.s : x.e], "attr_type": x.attr, "strength": x.strength, "found_by": x.by} for x in detect_text(t, [(y["s"], y["e"]) for y in k or []], protection)] for t, k in zip(texts, taken, strict=True)]
+            found = []
+            for t, k, own in zip(batch.column("plain_text").to_pylist(), batch.column("taken").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                matchers = (*base, _matcher_of(terms_of(own))) if own else base
+                spans = detect_text(t, [(y["s"], y["e"], y["kind"]) for y in k or ()], protection, locale, matchers)
+                found.append([_row(t, x) for x in spans])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, FOUND)], [key, "found"])
 
-    return rows.mapInArrow(run, f"{key} {kind}, found {FOUND_DDL}").select(key, F.inline("found"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, found {FOUND_DDL}").select(key, F.inline("found"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanveil.functions import checks
 from spanveil.functions.catalogue import RECOGNIZERS
@@ -49,16 +50,16 @@ def checked(found: Column, entities) -> Column:
 
 
 def boosted(found: Column, recognizers) -> Column:
-    """Raise the score of matches whose last CONTEXT_TOKENS words before them hold a context word of their type."""
+    """Raise the score of matches whose last CONTEXT_TOKENS tokens before them hold a context word of their type: it is part of a token, or a run
+    of tokens. Tokens may be of any length; the text before a match is read from its end."""
     fields = ("entity_type", "s", "e", "text", "score")
 
     def near(x: Column) -> Column:
-        before = F.lower(F.substring("plain_text", F.greatest(F.lit(1), x["s"] - 199), F.least(x["s"], F.lit(200))))
-        return F.regexp_extract_all(before, F.lit(r"[\p{L}\p{N}#]+"), F.lit(0))
-
-    def last(x: Column) -> Column:
-        t = x["near"]
-        return F.when(F.size(t) > 0, F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - CONTEXT_TOKENS + 1), CONTEXT_TOKENS), " ")).otherwise("")
+        # The reversed text is matched from its start, so that the search stops after the tokens wanted.
+        back = F.reverse(F.substring("plain_text", 1, x["s"]))
+        pattern = r"^(?:[^\p{L}\p{N}#]*[\p{L}\p{N}#]+){0,%d}" % CONTEXT_TOKENS
+        tokens = F.regexp_extract_all(F.lower(F.reverse(F.regexp_extract(back, pattern, 0))), F.lit(r"[\p{L}\p{N}#]+"), F.lit(0))
+        return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
     def raised(x: Column) -> Column:
         hit = F.lit(False)
@@ -68,10 +69,23 @@ def boosted(found: Column, recognizers) -> Column:
         return F.when(hit & (x["score"] < 1), F.least(F.lit(1.0), F.greatest(F.lit(CONTEXT_FLOOR), x["score"] + CONTEXT_GAIN))).otherwise(x["score"])
 
     found = F.transform(found, lambda x: F.struct(*[x[n].alias(n) for n in fields], near(x).alias("near")))
-    found = F.transform(found, lambda x: F.struct(*[x[n].alias(n) for n in fields], last(x).alias("near")))
     return F.transform(found, lambda x: F.struct(*[x[n].alias(n) for n in fields[:-1]], raised(x).alias("score")))
 
 
+def distinct_spans(found: Column) -> Column:
+    """Without scores of 0, and without those inside another of the same type that comes before them by score, start and length. In the row:
+    the matches of a text are sorted and each looks at those before it, until it meets one around it. ``found`` must be an attribute."""
+    ranked = F.array_sort(F.transform(F.filter(found, lambda x: x["score"] > 0), lambda x: F.struct((-x["score"]).alias("k"), x["s"].alias("s"), (x["s"] - x["e"]).alias("n"), x["entity_type"].alias("entity_type"), x["text"].alias("text"))))
+    return F.array_distinct(ranked)
+
+
+def _uncovered(ranked: Column) -> Column:
+    inside = lambda x, o: (o["entity_type"] == x["entity_type"]) & (o["s"] <= x["s"]) & (x["s"] - x["n"] <= o["s"] - o["n"])
+    before = lambda x, o: (o["k"] < x["k"]) | ((o["k"] == x["k"]) & ((o["s"] < x["s"]) | ((o["s"] == x["s"]) & (o["n"] < x["n"]))))
+    kept = F.filter(ranked, lambda x: ~F.exists(ranked, lambda o: inside(x, o) & before(x, o)))
+    return F.transform(kept, lambda x: F.struct(x["entity_type"].alias("entity_type"), x["s"].alias("s"), (x["s"] - x["n"]).alias("e"), x["text"].alias("text"), (-x["k"]).alias("score")))
+
+
 def analyze(df: DataFrame, key: str = "doc_id", text: str = "text", entities: tuple[str, ...] = COMMON, extra=(), threshold: float = 0.0, allow: tuple[str, ...] = (), allow_regex: str | None = None) -> DataFrame:
     """(key, entity_type, s, e, text, score): matches, checked, raised by context, without duplicates and contained ones of the same
     type, at or above ``threshold`` and not allowed by list or regular expression. ``extra`` adds recognizers of the catalogue's form."""
@@ -79,8 +93,9 @@ def analyze(df: DataFrame, key: str = "doc_id", text: str = "text", entities: tu
     rows = matches(df, key, text, chosen)
     # Arrays in stages, then one generator: a filter on the rows can't be moved below and multiply the expressions.
     rows = rows.withColumn("found", checked(F.col("found"), {r[0] for r in chosen})).withColumn("found", boosted(F.col("found"), chosen))
-    rows = rows.select(key, F.inline_outer("found")).where("s is not null")
-    rows = contained_drop(rows, key, "score").where(F.col("score") >= threshold)
+    # Contained ones go where all matches of a text are, in its row: no shuffle.
+    rows = rows.withColumn("found", distinct_spans(F.col("found"))).withColumn("found", _uncovered(F.col("found")))
+    rows = rows.select(key, F.inline_outer("found")).where("s is not null").where(F.col("score") >= threshold)
     if allow:
         rows = rows.where(~F.col("text").isin(*allow))
     if allow_regex:
@@ -90,11 +105,73 @@ def analyze(df: DataFrame, key: str = "doc_id", text: str = "text", entities: tu
 
 def chunks(df: DataFrame, key: str, size: int = 250, overlap: int = 50, text: str = "text") -> DataFrame:
     """(key, chunk, s, e, text): pieces of ``size`` characters that start ``size - overlap`` apart and run on to the end of a
-    word."""
+    word. Words are found once a text; a piece looks up where the word at its end ends."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("plain_text") - overlap) / step))
     rows = df.select(key, plain(F.col(text)).alias("plain_text")).where("plain_text <> ''")
+    # A piece and the stretch behind it up to the next piece's end hold its word's end, unless the word is longer; only then is the rest read.
     rows = rows.select(key, "plain_text", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk")).withColumn("s", F.col("chunk") * step)
-    rest = F.expr(f"regexp_extract(substring(plain_text, s + {size} + 1), '^[^ \\\\n\\\\t]*', 0)")
-    rows = rows.withColumn("e", F.least(F.length("plain_text"), F.col("s") + size + F.length(rest)))
+    rows = rows.withColumn("_after", F.expr(f"substring(plain_text, s + {size} + 1, {size})")).withColumn("_go", F.length(F.regexp_extract("_after", "^[^ \\n\\t]*", 0)))
+    rest = F.when((F.col("_go") == F.length("_after")) & (F.length("_after") == size), F.length(F.expr(f"regexp_extract(substring(plain_text, s + {size} + 1), '^[^ \\\\n\\\\t]*', 0)"))).otherwise(F.col("_go"))
+    rows = rows.withColumn("e", F.least(F.length("plain_text"), F.col("s") + size + rest))
     return rows.select(key, "chunk", "s", "e", F.expr("substring(plain_text, s + 1, e - s)").alias("text"))
+
+
+def analyze_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 250, overlap: int = 50, **analysis) -> DataFrame:
+    """analyze() piece by piece: (key, entity_type, s, e, text, score) with offsets in the whole text; what two pieces find is one, with its best
+    score, and what lies inside another of its type is gone."""
+    pieces = chunks(df, key, size, overlap, text).withColumn("_piece", F.concat_ws(":", F.col(key).cast("string"), "chunk"))
+    found = analyze(pieces, "_piece", "text", **analysis)
+    where = pieces.select(key, "_piece", F.col("s").alias("_s"))
+    found = found.join(where, "_piece").select(key, "entity_type", (F.col("s") + F.col("_s")).cast("int").alias("s"), (F.col("e") + F.col("_s")).cast("int").alias("e"), "text", "score")
+    best = found.groupBy(key, "entity_type", "s", "e", "text").agg(F.max("score").alias("score"))
+    return contained_drop(best, key, "score")
+
+
+def analyze_values(df: DataFrame, key: str, skip: tuple[str, ...] = (), **analysis) -> DataFrame:
+    """(key, path, entity_type, s, e, text, score) of every value of a row: strings, the strings in structs, arrays and maps by their dotted
+    path, numbers and booleans as text left alone (no results). Paths that ``skip`` names, and all below them, are left out."""
+    parts = []
+    for f in df.schema.fields:
+        if f.name != key:
+            parts += list(_leaves(F.col(f"`{f.name}`"), f.dataType, f.name, skip))
+    if not parts:
+        raise ValueError("no text in any column")
+    rows = df.select(F.col(key), F.explode(F.filter(F.flatten(F.array(*parts)), lambda x: x["value"].isNotNull())).alias("x")).select(key, "x.path", "x.value")
+    rows = rows.withColumn("_cell", F.concat_ws("\u0000", F.col(key).cast("string"), "path"))
+    found = analyze(rows, "_cell", "value", **analysis)
+    return found.join(rows.select("_cell", key, "path"), "_cell").select(key, "path", "entity_type", "s", "e", "text", "score")
+
+
+def _leaves(column: Column, kind, path: str, skip: tuple[str, ...]):
+    """Arrays of (path, value) for the strings in a column of any type."""
+    if path in skip:
+        return
+    if isinstance(kind, T.StringType):
+        yield F.array(F.struct(F.lit(path).alias("path"), column.alias("value")))
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            yield from _leaves(column.getField(f.name), f.dataType, f"{path}.{f.name}", skip)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        yield F.coalesce(F.transform(column, lambda x, i: F.struct(F.concat(F.lit(f"{path}."), i.cast("string")).alias("path"), x.alias("value"))), F.array().cast("array<struct<path:string,value:string>>"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StringType):
+        entries = F.filter(F.map_entries(column), lambda x: ~F.concat(F.lit(f"{path}."), x["key"]).isin(*skip) if skip else F.lit(True))
+        yield F.coalesce(F.transform(entries, lambda x: F.struct(F.concat(F.lit(f"{path}."), x["key"]).alias("path"), x["value"].alias("value"))), F.array().cast("array<struct<path:string,value:string>>"))
+
+
+def with_model(df: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, entity_type, s, e, text, score) from any model: ``model`` maps a list of texts to a list of lists of (entity_type, s, e, score), and
+    gets the texts in Arrow batches."""
+    import pyarrow as pa
+
+    kind = dict(df.dtypes)[key]
+    shape = pa.list_(pa.struct([("entity_type", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("score", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = [[{"entity_type": n, "s": s, "e": e, "text": t[s:e], "score": float(p)} for n, s, e, p in spans] for t, spans in zip(texts, model(texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, shape)], [key, "found"])
+
+    rows = df.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, found array<struct<entity_type:string,s:int,e:int,text:string,score:double>>")
+    return rows.select(key, F.inline("found"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,67 @@ def write_slots(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("attr_type").parquet(path)
 
 
+ATTRS = (*SCALARS, "name", "address")
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """``rows`` of slots, checked: persona, known type, value and strength must be there. A bad row stops the job and says which."""
+    bad = F.coalesce(F.trim("persona_id") == "", F.lit(True)) | ~F.coalesce(F.col("attr_type").isin(*ATTRS), F.lit(False)) | F.coalesce(F.trim("value") == "", F.lit(True)) | ~F.coalesce(F.col("strength").isin(*STRENGTHS), F.lit(False))
+    said = F.concat_ws(" ", F.lit("no legal slot:"), "persona_id", "attr_type", "component", "value", "strength")
+    return rows.withColumn("persona_id", F.when(bad, F.raise_error(said).cast("string")).otherwise(F.col("persona_id")))
+
+
+def merge_write(rows: DataFrame, path: str) -> DataFrame:
+    """Merge slots into the stored ones under ``path`` and write all in one commit; returns the stored table. The old version is read while the new one
+    is written beside it, and then replaced."""
+    from spanveil.sources.store import _delete, _exists
+
+    spark = rows.sparkSession
+    merged = merge_slots(spark.read.parquet(path).select(*SLOT_COLUMNS), rows.select(*SLOT_COLUMNS)) if _exists(spark, path) else merge_slots(rows.select(*SLOT_COLUMNS).where("false"), rows.select(*SLOT_COLUMNS))
+    staging = f"{path.rstrip('/')}__staging"
+    merged.write.mode("overwrite").parquet(staging)
+    write_slots(spark.read.parquet(staging), path)
+    _delete(spark, staging)
+    return spark.read.parquet(path).select(*SLOT_COLUMNS)
+
+
+SLOT_COLUMNS = ("persona_id", "attr_type", "slot_no", "component", "value", "aliases", "strength")
+
+
+def merged_stats(rows: DataFrame) -> DataFrame:
+    """(persona_id, attr_type, component, exposures, last_at, last_session): statistics of several sources added up; of equal times the later source
+    counts. ``rows``: those columns and ``age``, the place of their source."""
+    return rows.groupBy("persona_id", "attr_type", "component").agg(F.sum("exposures").alias("exposures"), F.max("last_at").alias("last_at"), F.max_by("last_session", F.struct("last_at", "age")).alias("last_session"))
+
+
+def ingest_organization(value):
+    """struct<value, aliases>: the name without its legal form, and the whole name as an alias where that differs."""
+    from spanveil.functions.normalize import LEGAL_FORMS, _quoted
+
+    one = "(?i)(?<=.)[\\s,.]*(?<![A-Za-z])(" + "|".join(_quoted(s) for s in sorted(LEGAL_FORMS, key=lambda s: (-len(s), s))) + ")[\\s.]*$"
+    whole = F.trim(F.regexp_replace(value, r"\s+", " "))
+    short = F.regexp_replace(F.regexp_replace(whole, one, ""), one, "")
+    return F.struct(short.alias("value"), F.when(short != whole, F.array(whole)).otherwise(F.array().cast("array<string>")).alias("aliases"))
+
+
+def ingest_address(value):
+    """The components of a raw address as array<struct<level, value, strength>>, each level and value once."""
+    from spanveil.operators.address import parse_address
+
+    @F.pandas_udf("array<struct<level:string,value:string,strength:string>>")
+    def parts(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: [{"level": k, "value": v, "strength": "hard"} for k, v in dict.fromkeys((c.type, c.text) for c in parse_address(t))])
+
+    return parts(value)
+
+
+def component_bag(bags):
+    """An array of components (level, value, strength) without repeats by level and value, in order; a later strength counts."""
+    key = lambda x: F.concat_ws("\u0000", x["level"], x["value"])
+    keys = F.array_distinct(F.transform(bags, key))
+    return F.transform(keys, lambda k: F.element_at(F.filter(bags, lambda x: key(x) == k), -1))
+
+
 def dictionary(rows: DataFrame) -> DataFrame:
     """(attr_type, term, persona_id, strength): values and aliases as terms; blanks go, a term once."""
     terms = rows.select("attr_type", F.explode(F.concat(F.array("value"), "aliases")).alias("term"), "persona_id", "strength")

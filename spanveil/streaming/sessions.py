@@ -14,34 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanveil.operators.entities import Entity, Session, placeholder
+from spanveil.operators.entities import Entity, Session, address_spec, placeholder
+from spanveil.operators.placeholders import allocate_equal, render, same_keys
 
 OUT = "session_id string, turn_id long, s long, attr_type string, text string, entity_id long, placeholder string"
-COLUMNS = ["session_id", "turn_id", "s", "attr_type", "canonical", "text"]
+COLUMNS = ["session_id", "turn_id", "s", "attr_type", "canonical", "text", "parts"]
+FUZZY = ("name", "organization", "address")
 
 
 def fold(session: Session, rows: pd.DataFrame) -> pd.DataFrame:
     """Number the rows of one session and update it."""
     out = []
     for r in rows.sort_values(["turn_id", "s"], kind="stable").itertuples(index=False):
-        e = session.number(r.attr_type, r.text, r.canonical)
-        out.append((r.session_id, r.turn_id, r.s, r.attr_type, r.text, e.number, placeholder(e, r.text)))
+        own = json.loads(r.parts) if isinstance(r.parts, str) else None
+        e = session.number(r.attr_type, r.text or "", r.canonical or "", own)
+        out.append((r.session_id, r.turn_id, r.s, r.attr_type, r.text, e.number, placeholder(e, r.text or "", own)))
     return pd.DataFrame(out, columns=["session_id", "turn_id", "s", "attr_type", "text", "entity_id", "placeholder"])
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("turn_id").cast("long").alias("turn_id"), F.col("s").cast("long").alias("s"), "attr_type", "canonical", "text")
+    """COLUMNS of ``rows``; components, if there, as JSON in the order of their types."""
+    parts = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("components")))) if "components" in rows.columns else F.lit(None).cast("string")
+    return rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("turn_id").cast("long").alias("turn_id"), F.col("s").cast("long").alias("s"), "attr_type", "canonical", "text", parts.alias("parts"))
+
+
+def _grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which of a session's names, organizations and addresses are one entity: the first value of each stands for it, with the parts that its
+    members have brought so far."""
+    session, out = Session(), []
+    for r in pdf.sort_values(["turn_id", "s"], kind="stable").itertuples(index=False):
+        own = json.loads(r.parts) if isinstance(r.parts, str) else None
+        e = session.number(r.attr_type, r.text or "", r.canonical or "", own)
+        out.append((r.session_id, r.attr_type, r.canonical, r.text, r.parts, str(e.number), address_spec(own)))
+    return pd.DataFrame(out, columns=["session_id", "attr_type", "canonical", "text", "parts", "entity", "spec"])
 
 
 def allocate(rows: DataFrame) -> DataFrame:
-    """Batch: one group a session. Only the distinct values of a session reach the fold; the rows are joined to their numbers, so a session
-    that repeats its values a thousand times is no larger to number."""
+    """Batch: values that compare by equality are numbered by joins and windows alone; names, organizations and addresses, whose comparison
+    is a rule over pairs, first pass a fold over a session's distinct values that says which are one. Nulls are values."""
     rows = _shaped(rows)
-    keys = ["session_id", "attr_type", "canonical", "text"]
-    first = rows.groupBy(*keys).agg(F.min(F.struct("turn_id", "s")).alias("f")).select(*keys, F.col("f.turn_id").alias("turn_id"), F.col("f.s").alias("s"))
-    numbers = first.select(*COLUMNS).groupBy("session_id").applyInPandas(lambda pdf: fold(Session(), pdf), OUT)
-    numbers = numbers.select("session_id", "attr_type", "text", "entity_id", "placeholder").dropDuplicates(["session_id", "attr_type", "text"])
-    return rows.join(numbers, ["session_id", "attr_type", "text"]).select(*[c.split()[0] for c in OUT.split(", ")])
+    keys = ["session_id", "attr_type", "canonical", "text", "parts"]
+    fuzzy = F.col("attr_type").isin(*FUZZY)
+    first = rows.where(fuzzy).groupBy(*keys).agg(F.min(F.struct("turn_id", "s")).alias("f")).select(*keys, F.col("f.turn_id").alias("turn_id"), F.col("f.s").alias("s"))
+    groups = first.select(*COLUMNS).groupBy("session_id").applyInPandas(_grouped, "session_id string, attr_type string, canonical string, text string, parts string, entity string, spec string")
+    marked = same_keys(rows, groups, keys, "left").withColumn("own", F.col("canonical")).withColumn("canonical", F.when(fuzzy, F.col("entity")).otherwise(F.col("canonical")))
+    numbered = allocate_equal(marked, "session_id", "turn_id").withColumn("entity_id", F.col("entity_id").cast("long"))
+    return numbered.withColumn("placeholder", render(F.col("attr_type"), F.col("entity_id"), F.coalesce("text", F.lit("")), F.col("spec"))).select(*[c.split()[0] for c in OUT.split(", ")])
 
 
 def _dump(session: Session) -> str:
