@@ -126,6 +126,45 @@ def it_vat(x: Column) -> Column:
     return (d != "00000000000") & ((10 - (odd + even) % 10) % 10 == digit(d, 10))
 
 
+def de_letter_sum(x: Column, head: int, tail: int, weights) -> Column:
+    """Sum of the cross sums of weighted figures; the letter after ``head`` digits counts as its two-digit place in the alphabet."""
+    t = F.upper(F.trim(x))
+    place = F.lpad((F.ascii(F.substring(t, head + 1, 1)) - 64).cast("string"), 2, "0")
+    figures = F.concat(F.substring(t, 1, head), place, F.substring(t, head + 2, tail))
+    products = [digit(figures, k) * w for k, w in enumerate(weights)]
+    return sum((F.when(p > 9, F.floor(p / 10) + p % 10).otherwise(p) for p in products), F.lit(0))
+
+
+def kvnr(x: Column) -> Column:
+    t = F.upper(F.trim(x))
+    return t.rlike("^[A-Z][0-9]{9}$") & (de_letter_sum(x, 0, 8, (2, 9, 8, 7, 6, 5, 4, 3, 2, 1)) % 10 == digit(t, 9))
+
+
+def rvnr(x: Column) -> Column:
+    t = F.upper(F.trim(x))
+    return t.rlike("^[0-9]{8}[A-Z][0-9]{3}$") & (de_letter_sum(x, 8, 2, (2, 1) * 6) % 10 == digit(t, 11))
+
+
+def gstin(x: Column) -> Column:
+    """A state, ten places with letters, four digits and a letter, a place, Z, a place."""
+    t = F.upper(F.regexp_replace(x, "[- ]", ""))
+    letters = F.length(F.regexp_replace(F.substring(t, 3, 5), "[^A-Z]", ""))
+    return t.rlike("^(0[1-9]|[12][0-9]|3[0-7])[A-Z0-9]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$") & (letters >= 3)
+
+
+# What characters at odd places of an Italian fiscal code count, in the order of LETTERS36.
+IT_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+
+
+def it_fiscal(x: Column) -> Column:
+    """Odd places by a table, even ones by value, a letter from its place in the alphabet; the rest by 26 is the last letter."""
+    t = F.upper(x)
+    at = lambda k: F.instr(F.lit(LETTERS36), F.substring(t, k + 1, 1)) - 1
+    odd = sum((F.get(F.array(*[F.lit(v) for v in IT_ODD]), at(k)) for k in range(0, 15, 2)), F.lit(0))
+    even = sum((F.when(at(k) > 9, at(k) - 10).otherwise(at(k)) for k in range(1, 15, 2)), F.lit(0))
+    return (F.length(t) == 16) & (F.substring(F.lit(LETTERS36), ((odd + even) % 26 + 11).cast("int"), F.lit(1)) == F.substring(t, 16, 1))
+
+
 def ssn_invalid(x: Column) -> Column:
     """Mixed separators, one digit throughout, a zero group, or a number that is never issued."""
     d = only_digits(x)
@@ -154,6 +193,10 @@ DECIDE = {
     "FI_PERSONAL_IDENTITY_CODE": lambda x, d: fi_code(x),
     "IT_VAT_CODE": lambda x, d: it_vat(x),
     "CREDIT_CARD": lambda x, d: luhn(d),
+    "DE_HEALTH_INSURANCE": lambda x, d: kvnr(x),
+    "DE_SOCIAL_SECURITY": lambda x, d: rvnr(x),
+    "IN_GSTIN": lambda x, d: gstin(x),
+    "IT_FISCAL_CODE": lambda x, d: it_fiscal(x),
     "SE_PERSONNUMMER": lambda x, d: luhn(F.right(d, F.lit(10))),
     "SE_ORGANISATIONSNUMMER": lambda x, d: luhn(d),
 }

@@ -7,6 +7,7 @@ words; a single word may carry a plural s or es. Other terms are compared as the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -117,8 +118,11 @@ def _rough(text: str) -> str:
 
 def longest(spans: list) -> list:
     """Of matches, the longest first and the first of equally long ones, without overlap; in text order."""
+    starts: list[int] = []
     out: list = []
     for x in sorted(spans, key=lambda x: (x.s - x.e, x.s)):
-        if all(x.e <= o.s or o.e <= x.s for o in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x.s)
+        k = bisect_left(starts, x.s)
+        if (k == 0 or out[k - 1].e <= x.s) and (k == len(out) or x.e <= out[k].s):
+            starts.insert(k, x.s)
+            out.insert(k, x)
+    return out

@@ -51,17 +51,32 @@ def repair(text: str) -> str:
     return "".join(out)
 
 
-def match_text(value: str) -> tuple[str, list[int]]:
-    """Comparable text in lower case without ignored characters, and the source index of each of its characters."""
-    out, at = [], []
+# What a comparison of each type ignores besides white space; others ignore IGNORED.
+IGNORED_BY_TYPE = {"email": "", "phone": "-_.·()（）+", "bank_number": "-_.·", "id_number": "-_.·", "name": "·•・.", "license_plate": "·•-", "organization": " -_.·•・()（）,，&", "address": " -_.·•・()（）,，#"}
+
+
+def match_text(value: str, attr: str = "") -> tuple[str, list[int]]:
+    """Comparable text in lower case without the characters that its type ignores, and the source index of each of its characters."""
+    ignored, out, at = IGNORED_BY_TYPE.get(attr, IGNORED), [], []
     for i, c in enumerate(value):
         for x in unicodedata.normalize("NFKC", c):
-            if x not in IGNORED and not x.isspace():
+            if x not in ignored and not x.isspace():
                 out.append(x.lower())
                 at.append(i)
     return "".join(out), at
 
 
+def find_value(text: str, value: str, attr: str = "") -> list[tuple[int, int]]:
+    """Where a value stands in a text when noise is ignored, as spans of the text itself."""
+    hay, at = match_text(text, attr)
+    needle, _ = match_text(value, attr)
+    out, k = [], hay.find(needle) if needle else -1
+    while k >= 0:
+        out.append((at[k], at[k + len(needle) - 1] + 1))
+        k = hay.find(needle, k + len(needle))
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def _cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in batches:

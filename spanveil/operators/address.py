@@ -154,12 +154,12 @@ _EN_ONE = (
 _LEAD_UNIT = re.compile(rf"({EN_UNIT}){_SP}(?=[0-9])")
 
 
-def _split_key(text: str, keys: Iterable[str]) -> tuple[str, str]:
-    for k in sorted(keys, key=len, reverse=True):
-        m = re.match(rf"(.+?){_SP}((?i:{re.escape(k)})\.?(?:{_SP}(?:{DIRECTION}))?)$", text)
-        if m:
-            return m[1], m[2]
-    return text, ""
+_KEYED = {kind: re.compile(rf"(.+?){_SP}((?i:{_alt(lex.EN_KEYS[kind])})\.?(?:{_SP}(?:{DIRECTION}))?)$") for kind in ("road", "poi")}
+
+
+def _split_key(text: str, kind: str) -> tuple[str, str]:
+    m = _KEYED[kind].match(text)
+    return (m[1], m[2]) if m else (text, "")
 
 
 def parse_en(text: str) -> list[Component]:
@@ -176,13 +176,13 @@ def parse_en(text: str) -> list[Component]:
             if kind == "road":
                 if m["number"]:
                     out.append(Component("number", m["number"]))
-                out.append(Component("road", *_split_key(m["value"], lex.EN_KEYS["road"])))
+                out.append(Component("road", *_split_key(m["value"], "road")))
             elif kind == "unit":
                 word = m["key"].rstrip(".").lower()
                 out.append(Component(UNIT_WORDS.get(word, "unit"), m["value"], m["key"]))
                 out[-1].value, out[-1].key = f"{m['key']} {m['value']}" if m["key"] != "#" else f"#{m['value']}", ""
             elif kind == "place":
-                out.append(Component("poi", *_split_key(m["value"], lex.EN_KEYS["poi"])))
+                out.append(Component("poi", *_split_key(m["value"], "poi")))
             elif kind == "state":
                 if m["city"]:
                     out.append(Component("city", m["city"]))
@@ -317,7 +317,19 @@ def find_addresses(text: str, lo: int = 0, hi: int | None = None) -> list[Addres
     return out
 
 
+#: Words before an address that aren't part of it.
+LEADS = re.compile("(?:现?居?住在|位于|来自|寄到|送到|前往|在|去|到|从|至)")
+
+
 def _surname(value: str) -> int:
+    """How much of the beginning is no address: words that lead to one, what stands before a known city, a surname before a road."""
+    if (m := LEADS.match(value)) and len(value) - m.end() > 2:
+        return m.end() + _surname(value[m.end() :])
+    m = re.match(f"{HAN}{{3,6}}?市", value)
+    if m:
+        city = next((n for n in lex.ZH_CITIES if m[0][:-1].endswith(n) and m[0][:-1] != n), None)
+        if city and not value.startswith(lex.ZH_PROVINCES):
+            return len(m[0]) - 1 - len(city)
     if value.startswith((*lex.ZH_CITIES, *lex.ZH_PROVINCES)):
         return 0
     for surname in (*lex.ZH_COMPOUND, *lex.ZH_SURNAMES):
@@ -375,11 +387,14 @@ def _folded(text: str) -> str:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text or "")).lower()
 
 
+_COUNTRY = {alias.lower(): name for alias, name in lex.COUNTRY_ALIASES.items()}
+
+
 def canonical_part(kind: str, text: str) -> str:
     """Canonical text of a component: countries and states by their aliases, units without their word, numbers as digits."""
     t = unicodedata.normalize("NFKC", text or "").strip()
     if kind == "country":
-        return _folded(lex.COUNTRY_ALIASES.get(t, lex.COUNTRY_ALIASES.get(t.lower(), t)))
+        return _folded(_COUNTRY.get(t.lower(), t))
     if kind == "province":
         full = lex.STATE_NAMES.get(t.upper(), t)
         return _folded(re.sub("(?:省|市|(?:壮族|回族|维吾尔)?自治区)$", "", full))

@@ -138,13 +138,14 @@ def inside_active(clues: list[Clue], active: list[tuple[int, int]]) -> list[Clue
 
 def seeded(text: str, clues: list[Clue]) -> list[Clue]:
     """Labels become starts before a copula, stay labels before a break, colon or gap, or around another clue, and otherwise inspire."""
-    plain = [(c.s, c.e) for c in clues if c.family not in ("label", "negative")]
+    plain = sorted((c.s, c.e) for c in clues if c.family not in ("label", "negative"))
     out = []
     for c in clues:
         if c.role == "label":
+            inside = plain[bisect_left(plain, (c.s, -1)) : bisect_left(plain, (c.e, -1))]
             if COPULA.match(text, c.e):
                 c = replace(c, role="start", e=COPULA.match(text, c.e).end())
-            elif not (RIGHT_BREAK.match(text, c.e) or any(c.s <= s and e <= c.e for s, e in plain)):
+            elif not (RIGHT_BREAK.match(text, c.e) or any(e <= c.e for _, e in inside)):
                 c = replace(c, role="inspire")
         out.append(c)
     return out
@@ -200,7 +201,9 @@ def resolve(text: str, clues: list[Clue], active: list[tuple[int, int]]) -> list
         if not c.seed and c.role not in ("negative", "inspire"):
             groups.setdefault(c.family, []).append(c)
     ordinary = [c for g in groups.values() for c in same_attr(g)]
-    ordinary = [c for c in ordinary if (c.source != "lexicon" and c.strength == HARD) or not any(x.s <= c.s and c.e <= x.e for x in seeds)]
+    starts = [x.s for x in seeds]  # disjoint
+    covered = lambda c: (k := bisect_right(starts, c.s)) and c.e <= seeds[k - 1].e
+    ordinary = [c for c in ordinary if (c.source != "lexicon" and c.strength == HARD) or not covered(c)]
     return sorted([*seeds, *negatives, *ordinary, *(c for c in clues if c.role == "inspire")], key=lambda c: (c.s, c.e))
 
 
@@ -209,10 +212,13 @@ def boosted(text: str, clues: list[Clue]) -> list[Clue]:
     inspires = [c for c in clues if c.role == "inspire"]
     if not inspires:
         return clues
-    out = []
+    out, ends = [], {}
+    for i in sorted(inspires, key=lambda i: i.e):
+        ends.setdefault(i.attr, []).append(i.e)
     for c in clues:
         if c.family in ("name", "organization") and not c.seed:
-            near = [distance(text, i.e, c.s, FAR) for i in inspires if i.attr == c.attr and i.e <= c.s and c.s - i.e < 400]
+            mine = ends.get(c.attr, [])
+            near = [distance(text, e, c.s, FAR) for e in mine[:bisect_right(mine, c.s)][-1:]]  # the nearest on the left
             best = min((d for d in near if d is not None), default=None)
             if best is not None:
                 c = replace(c, strength=min(HARD, c.strength + (2 if best <= NEAR else 1)))

@@ -66,11 +66,16 @@ def summary(judged: DataFrame) -> DataFrame:
     return out.withColumn("entity_type", F.coalesce("entity_type", F.lit("ALL")))
 
 
-def coverage_matrix(judged: DataFrame, weight: str | None = None) -> DataFrame:
-    """(threshold, n, share): entities covered wholly, by half and at all; weighted if a weight is named."""
+def coverage_matrix(judged: DataFrame, weight: str | None = None, exclusive: bool = False) -> DataFrame:
+    """(threshold, n, share): entities covered wholly, by half and at all; weighted if a weight is named. ``exclusive``: each entity counts at its best
+    threshold alone, and those not covered as ``none``, so that the shares add up to 1."""
     w = F.col(weight) if weight else F.lit(1)
-    rows = judged.select("ratio", w.cast("double").alias("w"), F.explode(F.array(F.lit("1.0"), F.lit("0.5"), F.lit("any"))).alias("threshold"))
-    met = F.when(F.col("threshold") == "1.0", F.col("ratio") >= 1).when(F.col("threshold") == "0.5", F.col("ratio") >= 0.5).otherwise(F.col("ratio") > 0)
+    names = ("1.0", "0.5", "any", "none") if exclusive else ("1.0", "0.5", "any")
+    rows = judged.select("ratio", w.cast("double").alias("w"), F.explode(F.array(*[F.lit(n) for n in names])).alias("threshold"))
+    if exclusive:
+        met = F.col("threshold") == F.when(F.col("ratio") >= 1, "1.0").when(F.col("ratio") >= 0.5, "0.5").when(F.col("ratio") > 0, "any").otherwise("none")
+    else:
+        met = F.when(F.col("threshold") == "1.0", F.col("ratio") >= 1).when(F.col("threshold") == "0.5", F.col("ratio") >= 0.5).otherwise(F.col("ratio") > 0)
     return rows.groupBy("threshold").agg(F.count_if(met).alias("n"), F.round(F.sum(F.when(met, F.col("w")).otherwise(0.0)) / F.sum("w"), 6).alias("share"))
 
 
@@ -105,9 +110,12 @@ def exposure(rows: DataFrame, keys: list[str], count: str, at: str, session: str
     return rows.groupBy(*keys).agg(F.sum(count).alias("exposures"), F.max(at).alias("last_at"), F.max(F.struct(at, session))[session].alias("last_session"))
 
 
-def column_types(df: DataFrame, columns: list[str], detect, strategy: str = "most_common", mixed: float = 0.5) -> DataFrame:
+def column_types(df: DataFrame, columns: list[str], detect, strategy: str = "most_common", mixed: float = 0.5, sample: int | None = None, seed: int = 123) -> DataFrame:
     """(column, entity_type, share, n): the entity type of each column by a vote over its cells. ``detect`` maps (cell_id, text) to (cell_id,
-    entity_type, score). Cells vote once for each type in them; columns without any are NON_PII."""
+    entity_type, score). Cells vote once for each type in them; columns without any are NON_PII. ``sample``: so many rows vote, the first by a
+    hash of ``seed`` and their cells; reruns choose the same."""
+    if sample is not None:
+        df = df.select(*[F.col(c) for c in columns]).orderBy(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in columns])).limit(sample)
     cells = df.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot("row", columns, "column", "text")
     cells = cells.where("text is not null").withColumn("cell_id", F.concat_ws(":", "column", "row"))
     total = cells.groupBy("column").agg(F.count("*").alias("cells"))

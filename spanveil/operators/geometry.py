@@ -15,7 +15,7 @@ from spanveil.functions.tokens import INLINE_GAP, OCR_BREAK
 
 # Height tolerance and gap of one line, height tolerance between lines (ideographs, others); label layout windows.
 SAME_LINE_HEIGHT, SAME_LINE_GAP, NEXT_LINE_HEIGHT = 0.10, 0.5, (0.09, 0.20)
-HEIGHT_WINDOW, X_WINDOW, LEAST_LABELS = 12, 64, 3
+HEIGHT_WINDOW, X_WINDOW, RHYTHM_WINDOW, LEAST_LABELS = 12, 64, 12, 3
 
 
 def box(polygon: Column) -> Column:
@@ -114,18 +114,111 @@ def bind_labels(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return best
 
 
+def label_trust(labels: DataFrame) -> DataFrame:
+    """``labels`` (image_id, block_id, x, y, height) with ``reason``: null for those that look like the labels of a form, else what drops them: height, x
+    (left edge) or rhythm. Each test keeps the densest window, and at least LEAST_LABELS must agree; without so many none of the page is trusted.
+    The rhythm is of the gaps between labels that are left, from top to bottom: a label goes if neither of its gaps lies in the densest window of gaps."""
+    names = labels.columns
+
+    def dense(rows: DataFrame, x: str, width: int, why: str) -> DataFrame:
+        w = Window.partitionBy("image_id").orderBy("_v").rangeBetween(0, width)
+        live = rows.where("reason is null").select("image_id", "block_id", F.col(x).cast("long").alias("_v"))
+        best = live.withColumn("_n", F.count("*").over(w)).groupBy("image_id").agg(F.max(F.struct("_n", (-F.col("_v")).alias("_l"))).alias("_b")).select("image_id", F.col("_b._n").alias("_n"), (-F.col("_b._l")).alias("_lo"))
+        out = rows.join(best, "image_id", "left")
+        ok = (F.col("_n") >= LEAST_LABELS) & F.col(x).between(F.col("_lo"), F.col("_lo") + width)
+        return out.withColumn("reason", F.when(F.col("reason").isNotNull() | F.coalesce(ok, F.lit(False)), F.col("reason")).otherwise(F.lit(why))).drop("_n", "_lo")
+
+    rows = dense(labels.withColumn("reason", F.lit(None).cast("string")), "height", HEIGHT_WINDOW, "height")
+    rows = dense(rows, "x", X_WINDOW, "x")
+    order = Window.partitionBy("image_id", F.col("reason").isNull()).orderBy("y", "block_id")
+    rows = rows.withColumn("_up", F.when(F.col("reason").isNull(), F.col("y") - F.lag("y").over(order))).withColumn("_down", F.when(F.col("reason").isNull(), F.lead("y").over(order) - F.col("y")))
+    gaps = rows.where("_up is not null").select("image_id", "block_id", F.col("_up").cast("long").alias("_g"))
+    w = Window.partitionBy("image_id").orderBy("_g").rangeBetween(0, RHYTHM_WINDOW)
+    best = gaps.withColumn("_n", F.count("*").over(w)).groupBy("image_id").agg(F.max(F.struct("_n", (-F.col("_g")).alias("_l"))).alias("_b")).select("image_id", F.col("_b._n").alias("_n"), (-F.col("_b._l")).alias("_lo"))
+    rows = rows.join(best, "image_id", "left")
+    near = lambda c: F.coalesce(F.col(c).between(F.col("_lo"), F.col("_lo") + RHYTHM_WINDOW), F.lit(False))
+    steady = F.coalesce(F.col("_n") >= LEAST_LABELS - 1, F.lit(False)) & (near("_up") | near("_down"))
+    return rows.withColumn("reason", F.when(F.col("reason").isNotNull() | steady, F.col("reason")).otherwise(F.lit("rhythm"))).select(*names, "reason")
+
+
 def trusted_labels(labels: DataFrame) -> DataFrame:
-    """Labels (image_id, block_id, x, y, height) of a form: those in the densest window of heights and then of left edges, if at least
-    LEAST_LABELS agree."""
-    w = Window.partitionBy("image_id").orderBy("height").rangeBetween(0, HEIGHT_WINDOW)
-    rows = labels.withColumn("n", F.count("*").over(w))
-    best = rows.groupBy("image_id").agg(F.max(F.struct("n", (-F.col("height")).alias("h"))).alias("b")).select("image_id", F.col("b.n").alias("hn"), (-F.col("b.h")).alias("h0"))
-    rows = labels.join(best, "image_id").where((F.col("hn") >= LEAST_LABELS) & F.col("height").between(F.col("h0"), F.col("h0") + HEIGHT_WINDOW))
-    wx = Window.partitionBy("image_id").orderBy("x").rangeBetween(0, X_WINDOW)
-    counted = rows.withColumn("n", F.count("*").over(wx))
-    left = counted.groupBy("image_id").agg(F.max(F.struct("n", (-F.col("x")).alias("x"))).alias("b")).select("image_id", F.col("b.n").alias("xn"), (-F.col("b.x")).alias("x0"))
-    out = rows.join(left, "image_id").where((F.col("xn") >= LEAST_LABELS) & F.col("x").between(F.col("x0"), F.col("x0") + X_WINDOW))
-    return out.select(*labels.columns)
+    """The labels (image_id, block_id, x, y, height) that look like those of a form."""
+    return label_trust(labels).where("reason is null").drop("reason")
+
+
+CHUNKED = "image_id {kind}, text string, places array<struct<block_id:string,s:int,e:int,raw:array<int>>>"
+
+
+def chunked(blocks: DataFrame, clean: bool = True) -> DataFrame:
+    """(image_id, text, places): each page as one text. Blocks are cleaned and chained: a chunk starts at a block that nothing leads to, goes on to the
+    nearest block to the right on its row, and from there below, as far as each is free. The inline gap mark stands between the blocks of a chunk, a
+    break between chunks and at both ends. ``places`` has where each block stands and, for each of its characters, its index in the raw text.
+    Blank blocks and those without a box are left out. A page is one task's work."""
+    from spanveil.functions.ocrtext import clean as cleaned
+    from spanveil.functions.ocrtext import repair
+
+    kind = dict(blocks.dtypes)["image_id"]
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        items = [(str(r.block_id), r.text, int(r.x), int(r.y), int(r.width), int(r.height)) for r in page.sort_values(["y", "x", "block_id"], kind="stable").itertuples()]
+        right, below = {}, {}
+        for i, (_, _, x, y, w, h) in enumerate(items):
+            row = [(u, j) for j, (_, _, u, v, _, k) in enumerate(items) if j != i and v < y + h and y < v + k and u >= x + w]
+            down = [(v, j) for j, (_, _, u, v, _, k) in enumerate(items) if j != i and v >= y + h and abs(u - x) <= max(h, k)]
+            if row:
+                right[i] = min(row)[1]
+            if down:
+                below[i] = min(down)[1]
+        led = {*right.values(), *below.values()}
+        seen: set[int] = set()
+
+        def chain(i: int) -> list[int]:
+            out, todo = [], [i]
+            while todo:
+                j = todo.pop()
+                if j in seen:
+                    continue
+                seen.add(j)
+                out.append(j)
+                todo += [k for k in (below.get(j), right.get(j)) if k is not None and k not in seen]  # the right one is taken first
+            return out
+
+        chunks = [c for c in ([chain(i) for i in range(len(items)) if i not in led] + [chain(i) for i in range(len(items))]) if c]
+        text, places = OCR_BREAK, []
+        for n, chunk in enumerate(chunks):
+            text += OCR_BREAK if n else ""
+            for m, i in enumerate(chunk):
+                text += INLINE_GAP if m else ""
+                got, raw = cleaned(items[i][1]) if clean else (items[i][1], list(range(len(items[i][1]))))
+                got = repair(got) if clean else got
+                places.append({"block_id": items[i][0], "s": len(text), "e": len(text) + len(got), "raw": raw})
+                text += got
+        return pd.DataFrame({"image_id": [page.image_id.iloc[0]], "text": [text + OCR_BREAK], "places": [places]})
+
+    return usable(blocks).groupBy("image_id").applyInPandas(run, CHUNKED.format(kind=kind))
+
+
+def remap(spans: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``spans`` (image_id, s, e, ...) of the text of ``chunked`` with blocks, an array of (block_id, raw_s, raw_e) in the raw texts, and the box around them."""
+    names = spans.columns
+    rows = spans.withColumn("_id", F.monotonically_increasing_id()).join(pages.select("image_id", "places"), "image_id")
+    inside = F.filter("places", lambda p: (p["s"] < F.col("e")) & (F.col("s") < p["e"]))
+    at = lambda p, place: F.get(p["raw"], place - p["s"])
+    parts = F.transform(inside, lambda p: F.struct(p["block_id"].alias("block_id"), at(p, F.greatest(p["s"], F.col("s"))).alias("raw_s"), (at(p, F.least(p["e"], F.col("e")) - 1) + 1).alias("raw_e")))
+    rows = rows.withColumn("blocks", parts).drop("places")
+    each = rows.select("_id", "image_id", F.explode("blocks.block_id").alias("block_id")).join(blocks.select("image_id", F.col("block_id").cast("string").alias("block_id"), "x", "y", "width", "height"), ["image_id", "block_id"])
+    return rows.join(union_box(each, ["_id"]), "_id", "left").select(*names, "blocks", "x", "y", "width", "height")
+
+
+def bridged_numbers(pages: DataFrame, key: str = "image_id", text: str = "text") -> DataFrame:
+    """(key, s, e, text, check_name): numbers that go over an inline gap and pass a check without it: a phone, identity or card number."""
+    from spanveil.functions.spans import find_spans
+    from spanveil.functions.validators import only_digits, route
+
+    run = rf"(?<![A-Za-z0-9])\+?[0-9](?:[ \-()]*[0-9])*[ \-()]*{INLINE_GAP}[ \-()]*[0-9](?:[ \-(){INLINE_GAP}]*[0-9])*(?![A-Za-z0-9])"
+    rows = pages.select(key, F.col(text).alias("_t")).select(key, F.inline_outer(find_spans(F.col("_t"), run))).where("s is not null")
+    digits = only_digits(F.col("text"))
+    return rows.withColumn("check_name", route(digits, digits, F.lit("NUM"), F.lit(None).cast("string"))).where("check_name is not null")
 
 
 def union_box(blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,9 +8,12 @@ surroundings of clues are looked at, so a text without any costs one pass of the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,7 +111,8 @@ def _english_name(text: str, s: int, e: int, clues: list[Clue], floor: int, by:
     s2 = s if seed else _words_left(text, s, max(floor, e - NAME_CHARS))
     e2 = _words_right(text, e, s2 + NAME_CHARS)
     words = re.findall("[A-Za-z]+", text[s2:e2])
-    own = [c for c in clues if c.family == "name" and c.role in ("family", "given", "full", "alias") and s2 <= c.s and c.e <= e2]
+    at = bisect_left(clues, s2, key=lambda c: c.s)
+    own = [c for c in takewhile(lambda c: c.s < e2, islice(clues, at, None)) if c.e <= e2]
     source = next((c.source for c in own if c.source != "lexicon"), "lexicon")
     if seed:
         return Span(s2, e2, "name", HARD, by, source, True) if len(words) >= 2 or own else None
@@ -128,7 +132,8 @@ def _english_name(text: str, s: int, e: int, clues: list[Clue], floor: int, by:
 
 def _zh_name(text: str, c: Clue, clues: list[Clue], negatives: list[tuple[int, int]], labelled: bool) -> Span | None:
     """A surname and its tail: an explicit given name, else up to two ideographs; alone between others than ideographs it gains a step."""
-    given = next((x for x in clues if x.family == "name" and x.role == "given" and x.s == c.e), None)
+    at = bisect_left(clues, c.e, key=lambda x: x.s)
+    given = next((x for x in takewhile(lambda x: x.s == c.e, islice(clues, at, None)) if x.role == "given"), None)
     if given:
         e = given.e
     else:
@@ -140,7 +145,7 @@ def _zh_name(text: str, c: Clue, clues: list[Clue], negatives: list[tuple[int, i
     if e == c.e:
         return None
     strength = HARD if labelled or given else c.strength
-    after = negative_effect(c.s, e, strength, negatives)
+    after = negative_effect(c.s, e, strength, _touching(negatives, c.s, e))
     if after is None:
         return None
     if after == SOFT and not _han(text, c.s - 1) and not _han(text, e):
@@ -151,8 +156,8 @@ def _zh_name(text: str, c: Clue, clues: list[Clue], negatives: list[tuple[int, i
 def name_runs(text: str, clues: list[Clue], locale: str, addresses: list[Span]) -> Iterator[Span]:
     """After labels and starts, and around names that are known. A compound surname right before an address is a name by itself."""
     at_address = {x.s for x in addresses}
-    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("name", "ui")]
-    floors = [c.e for c in clues if c.seed]
+    negatives = sorted((c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("name", "ui"))
+    floors = sorted(c.e for c in clues if c.seed)
     names = [c for c in clues if c.family == "name" and c.role in ("family", "given", "full", "alias")]
     by_start: dict[int, list[Clue]] = {}
     for c in names:
@@ -174,7 +179,7 @@ def name_runs(text: str, clues: list[Clue], locale: str, addresses: list[Span])
                 e = at
                 while e < at + 4 and _han(text, e):
                     e += 1
-                if 2 <= e - at and not _han(text, e) and by == "label" and negative_effect(at, e, HARD, negatives) is not None:
+                if 2 <= e - at and not _han(text, e) and by == "label" and negative_effect(at, e, HARD, _touching(negatives, at, e)) is not None:
                     yield Span(at, e, "name", HARD, by, labelled=True)
         elif locale != "zh_cn":
             m = CAPITALS.match(text, at)
@@ -186,7 +191,7 @@ def name_runs(text: str, clues: list[Clue], locale: str, addresses: list[Span])
             if locale == "en_us":
                 continue
             if c.role in ("full", "alias") or (c.role == "given" and c.source != "lexicon"):
-                after = negative_effect(c.s, c.e, c.strength, negatives)
+                after = negative_effect(c.s, c.e, c.strength, _touching(negatives, c.s, c.e))
                 if after is not None:
                     yield Span(c.s, c.e, "name", after, "dictionary", c.source)
             elif c.role == "family" and c.e in at_address and len(c.text) == 2:
@@ -194,8 +199,8 @@ def name_runs(text: str, clues: list[Clue], locale: str, addresses: list[Span])
             elif c.role == "family" and (run := _zh_name(text, c, names, negatives, False)):
                 yield run
         elif locale != "zh_cn" and c.s >= done and text[c.s : c.e].lower() not in STOP_WORDS:
-            floor = max((f for f in floors if f <= c.s), default=0)
-            run = _english_name(text, c.s, c.e, names, floor, "clue", False)
+            k = bisect_right(floors, c.s)
+            run = _english_name(text, c.s, c.e, names, floors[k - 1] if k else 0, "clue", False)
             if run:
                 done = run.e
                 yield run
@@ -216,16 +221,18 @@ def _org_left(text: str, c: Clue, floor: int) -> int:
 def org_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
     """From suffixes to the left, from known names to a suffix on their right, and after labels."""
     suffixes = [c for c in clues if c.family == "organization" and c.role == "suffix"]
-    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr == "organization"]
-    floors = [c.e for c in clues if c.seed]
+    negatives = sorted((c.s, c.e) for c in clues if c.role == "negative" and c.attr == "organization")
+    floors, starts = sorted(c.e for c in clues if c.seed), [c.s for c in suffixes]
+    after = lambda at: islice(suffixes, bisect_left(starts, at), None)
     for c in suffixes:
         if (locale == "en_us" and not c.text.isascii()) or (locale == "zh_cn" and c.text.isascii()):
             continue
-        s = _org_left(text, c, max((f for f in floors if f <= c.s), default=0))
-        if s == c.s or any(a < c.e and c.s < b for a, b in negatives):
+        k = bisect_right(floors, c.s)
+        s = _org_left(text, c, floors[k - 1] if k else 0)
+        if s == c.s or _touching(negatives, c.s, c.e):
             continue
         e = c.e + (text[c.e : c.e + 1] == "." and c.text.isascii())
-        nxt = next((x for x in suffixes if x.s >= e and x.text.isascii() and re.fullmatch(r",? ", text[e : x.s])), None)
+        nxt = next((x for x in takewhile(lambda x: x.s <= e + 2, after(e)) if x.text.isascii() and re.fullmatch(r",? ", text[e : x.s])), None)
         if nxt:
             e = nxt.e + (text[nxt.e : nxt.e + 1] == ".")
         if c.text.isascii() and c.text[0].islower() and c.strength < HARD:
@@ -235,13 +242,13 @@ def org_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
     for c in clues:
         if c.family == "organization" and c.role in ("value", "alias", "full"):
             most = VALUE_HAN if not c.text.isascii() else VALUE_WORDS * 2
-            tail = next((x for x in suffixes if x.s >= c.e and distance(text, c.e, x.s, most) is not None), None)
+            tail = next((x for x in islice(after(c.e), 1) if distance(text, c.e, x.s, most) is not None), None)
             yield Span(c.s, tail.e if tail else c.e, "organization", c.strength, "dictionary" if c.source != "lexicon" else "known", c.source)
         elif c.seed and c.attr == "organization":
             at = SEPARATOR.match(text, c.e).end()
             stop = VALUE_END.search(text, at)
             end = stop.start() if stop else len(text)
-            tail = next((x for x in suffixes if x.s >= at and x.e <= end and len(re.findall(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", text[at : x.s])) <= ORG_SUFFIX_UNITS), None)
+            tail = next((x for x in takewhile(lambda x: x.e <= end, after(at)) if len(re.findall(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", text[at : x.s])) <= ORG_SUFFIX_UNITS), None)
             if tail:
                 yield Span(at, tail.e, "organization", HARD, "label", labelled=True)
             elif _han(text, at):
@@ -261,6 +268,16 @@ def org_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
 # Addresses
 
 
+def _touching(spans: list[tuple[int, int]], s: int, e: int) -> list[tuple[int, int]]:
+    """Those of sorted, short spans that overlap (s, e)."""
+    at = bisect_left(spans, (e, -1))
+    out = []
+    for x in reversed(spans[max(0, at - 64) : at]):
+        if x[1] > s:
+            out.append(x)
+    return out
+
+
 def _regions(text: str, clues: list[Clue]) -> list[tuple[int, int]]:
     """Stretches around address clues in which an address may lie: some words to the left, to the right as far as pieces go on."""
     out: list[list[int]] = []
@@ -297,14 +314,15 @@ def _regions(text: str, clues: list[Clue]) -> list[tuple[int, int]]:
 
 
 def address_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
-    labels = [(c.s, c.e) for c in clues if c.role in ("label", "start", "inspire")]
-    negatives = [(c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("address", "ui")]
+    labels = sorted((c.s, c.e) for c in clues if c.role in ("label", "start", "inspire"))
+    ends = sorted(e for _, e in labels)
+    negatives = sorted((c.s, c.e) for c in clues if c.role == "negative" and c.attr in ("address", "ui"))
     found: dict[tuple[int, int], adr.Address] = {}
     for lo, hi in _regions(text, clues):
         reach = 64
         while True:  # as far as the pattern goes on
             end = min(len(text), hi + reach)
-            got = adr.find_addresses(text, lo, end)
+            got = [a for a in adr.find_addresses(text, lo, end) if a.s <= hi]  # later ones have clues of their own
             if end == len(text) or not got or got[-1].e < end - 40:
                 break
             reach *= 4
@@ -312,9 +330,9 @@ def address_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
             found[a.s, a.e] = a
     for (s, e), a in sorted(found.items()):
         zh = any(HAN.search(c.text) for c in a.components)
-        if (zh and locale == "en_us") or (not zh and locale == "zh_cn") or any(s < y and x < e for x, y in labels):
+        if (zh and locale == "en_us") or (not zh and locale == "zh_cn") or _touching(labels, s, e):
             continue
-        tail = [(x, y) for x, y in negatives if x < e and s < y]
+        tail = _touching(negatives, s, e)
         if tail:
             last = a.components[-1]
             k = text.rfind(last.key or last.value, s, e)
@@ -325,8 +343,10 @@ def address_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
                     continue
                 a = replace_address(a, s, adr._trim(text, s, cut)[1], kept)
                 e = a.e
-        labelled = any(y <= s and not re.search(r"[^\s:：]", text[y:s]) for x, y in labels)
+        near = bisect_right(ends, s) - 1
+        labelled = near >= 0 and s - ends[near] < 64 and not re.search(r"[^\s:：]", text[ends[near] : s])
         yield Span(a.s, a.e, "address", HARD if labelled else a.strength, "label" if labelled else "pattern", "lexicon", labelled, tuple(a.components))
+    spans, starts = sorted(found), [c.s for c in clues]
     for c in clues:
         if c.family == "address" and c.role in ("value", "full") and c.source != "lexicon":
             kind = c.component[0] if c.component else "detail"
@@ -337,9 +357,9 @@ def address_runs(text: str, clues: list[Clue], locale: str) -> Iterator[Span]:
             at = SEPARATOR.match(text, c.e).end()
             stop = LINE_END.search(text, at)
             s, e = adr._trim(text, at, stop.start() if stop else len(text))
-            if any(a < e and s < b for a, b in found):
+            if _touching(spans, s, e):
                 continue  # the pattern knows where it ends
-            if e > s and any(x.family == "address" and x.role == "value" and s <= x.s and x.e <= e for x in clues):
+            if e > s and any(x.family == "address" and x.role == "value" and x.e <= e for x in clues[bisect_left(starts, s) : bisect_right(starts, e)]):
                 yield Span(s, e, "address", HARD, "label", "lexicon", True, tuple(adr.parse_address(text[s:e])))
 
 
@@ -406,26 +426,25 @@ def beats(a: Span, b: Span) -> bool:
 
 def settle(text: str, runs: list[Span]) -> list[Span]:
     """Disjoint spans from left to right: a run meets those it overlaps; losers shrink or go, and what is left of them competes again."""
-    todo = sorted(set(runs), key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
+    order = lambda x: (x.s, -x.e, -x.strength, x.attr, x.by)
+    todo = [(order(x), i, x) for i, x in enumerate(sorted(set(runs), key=order))]
     out: list[Span] = []
+    n = len(todo)
     while todo:
-        x = todo.pop()
-        clash = [o for o in out[-6:] if o.s < x.e and x.s < o.e]
-        if not clash:
+        _, _, x = heappop(todo)
+        at = next((k for k in range(len(out) - 1, max(-1, len(out) - 7), -1) if out[k].s < x.e and x.s < out[k].e), None)
+        if at is None:
             out.append(x)
             continue
-        o = clash[0]
+        o = out[at]
         win, lose = (x, o) if beats(x, o) else (o, x)
         rest = trimmed(text, lose, win.s, win.e) if lose.attr != win.attr else None
         if win is x:
-            out.remove(o)
-            todo.append(x)
-            if rest:
-                todo.append(rest)
-            todo.sort(key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
-        elif rest:
-            todo.append(rest)
-            todo.sort(key=lambda x: (x.s, -x.e, -x.strength, x.attr), reverse=True)
+            del out[at]
+        for again in (x if win is x else None, rest):
+            if again:
+                n += 1
+                heappush(todo, (order(again), n, again))
     return sorted(out, key=lambda x: x.s)
 
 

@@ -127,7 +127,8 @@ def _staged(rows: DataFrame, context: bool) -> tuple[DataFrame, tuple[str, ...]]
     kinds = F.create_map(*[F.lit(v) for pair in LABEL_OF.items() for v in pair])
     raw = F.transform("hard", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring("plain_text", x["s"] + 1, x["e"] - x["s"]).alias("text"), x["kind"].alias("kind"), group_of(x["kind"]).alias("grp")))
     have = ("s", "e", "text", "kind", "grp")
-    between = lambda most: rf"^(?:{UNIT}){{0,{most - 1}}}$"
+    # Atomic and possessive: a unit that is taken is never tried again in another way.
+    between = lambda most: rf"^(?>{UNIT}){{0,{most - 1}}}+$"
     sure = lambda c: F.coalesce(c, F.lit(False))
     generic = lambda x: F.when(x["fragment"] == "NUM", "num").otherwise("alnum")
     steps = (
