@@ -31,10 +31,8 @@ def line_key(line: Column) -> Column:
 KEY = ["k1", "k2"]
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of hash of a line's key; null for keys of fewer than ``min_chars`` code points."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")))
+def key_hash(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2"))
 
 
 class LineRuns:
@@ -88,7 +86,8 @@ class LineRuns:
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> tuple[DataFrame, DataFrame]:
     """(frequent keys, keys of each row). The rows' keys are (doc_id, print, batch, keys): print is a hash of the text, keys the
     distinct line hashes. Rows are dealt to ``batches`` by doc_id and print and pass through the runs batch by batch."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
+    # The keys themselves are made distinct: that takes a hash table, while structs would be compared pair by pair.
+    keys = F.transform(F.filter(F.array_distinct(F.transform(lines_of(F.col("text")), line_key)), lambda k: F.length(k) >= min_chars), key_hash)
     rows = docs.select("doc_id", F.xxhash64("text").alias("print"), keys.alias("keys"))
     rows = saved(rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "print"), batches).cast("int")), "lines", "batch")
     runs = LineRuns(min_docs)
@@ -102,13 +101,14 @@ def _marked(docs: DataFrame, min_docs: int, min_chars: int, batches: int) -> Dat
     ones are too many to be broadcast, the skew join splits its rows, which are three numbers each."""
     frequent, rows = frequent_lines(docs, min_docs, min_chars, batches)
     hits = rows.select(F.col("doc_id").alias("_id"), F.col("print").alias("_p"), F.inline("keys")).join(frequent, KEY)
-    hits = hits.groupBy("_id", "_p").agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
+    hits = hits.groupBy("_id", "_p").agg(F.collect_list(F.struct(*KEY)).alias("_drop"))
     out = docs.withColumn("_print", F.xxhash64("text")).join(hits, F.expr("doc_id <=> _id and _print = _p"), "left").drop("_id", "_p", "_print")
     return out.withColumn("_lines", lines_of(F.col("text")))
 
 
-def _kept(min_chars: int) -> Column:
-    held = lambda x: ~F.coalesce(F.array_contains("_drop", line_hash(x, min_chars)), F.lit(False))
+def _kept() -> Column:
+    # A frequent key has at least min_chars code points, so shorter ones are in no _drop.
+    held = lambda x: ~F.array_contains("_drop", key_hash(line_key(x)))
     return F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", held))
 
 
@@ -119,7 +119,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     that at least ``min_docs`` rows hold lose all their lines; the others stay, joined by \\n. Null and empty texts have one
     empty line. Each row counts as a document, rows that repeat a doc_id or a text too. Empty input gives an empty
     result. Keys are compared by 128 bits of hash. Other columns are ignored."""
-    out = _marked(docs.select("doc_id", "text"), min_docs, min_chars, batches).withColumn("_kept", _kept(min_chars))
+    out = _marked(docs.select("doc_id", "text"), min_docs, min_chars, batches).withColumn("_kept", _kept())
     return out.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
 
 
@@ -129,7 +129,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text")
     out = _marked(held, min_docs, min_chars, batches)
-    out = out.withColumn("_new", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(min_chars), "\n")))
+    out = out.withColumn("_new", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(), "\n")))
     new = {"text": F.col("_new"), "n_chars": F.when(F.col("_drop").isNull(), F.col("_row.n_chars") if "n_chars" in names else F.lit(0)).otherwise(F.length("_new"))}
     kinds = dict(docs.dtypes)
     return out.select(*[(new[c] if c in new else F.col("_row").getField(c)).cast(kinds[c]).alias(c) for c in names])
