@@ -17,13 +17,9 @@ ZH_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑
 ZH_COMPOUND = ("欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "司徒")
 ORG_SUFFIXES = ("incorporated", "corporation", "holdings", "limited", "company", "studio", "group", "corp", "gmbh", "inc", "llc", "ltd", "plc", "co")
 ZH_ORG_SUFFIXES = ("股份有限公司", "有限责任公司", "有限公司", "集团公司", "工作室", "研究院", "集团", "公司", "大学", "医院", "银行", "学院")
-STREETS = ("street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "drive", "dr", "lane", "ln", "court", "ct", "place", "pl", "way", "parkway", "pkwy", "highway", "hwy", "terrace", "square")
-UNITS = ("suite", "ste", "apt", "apartment", "unit", "room", "floor", "building", "bldg", "tower")
-PLACES = ("homes", "flats", "hall", "offices", "plaza", "mall", "residences", "apartments", "towers")
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
 DIRECTIONS = ("N", "S", "E", "W", "NE", "NW", "SE", "SW")
 CITIES = ("new york", "los angeles", "chicago", "houston", "phoenix", "philadelphia", "san antonio", "san diego", "dallas", "austin", "seattle", "denver", "boston", "miami", "portland", "atlanta", "bellevue", "san francisco")
-COUNTRIES = ("united states", "usa", "united kingdom", "uk", "china", "germany", "france", "spain", "belgium", "canada", "italy", "japan", "中国", "美国", "英国", "法国", "德国", "日本")
 ZH_PROVINCES = ("北京", "上海", "天津", "重庆", "广东", "江苏", "浙江", "山东", "四川", "湖北", "湖南", "河南", "河北", "福建", "安徽", "江西", "陕西", "辽宁", "吉林", "黑龙江", "云南", "贵州", "广西", "山西", "甘肃", "海南", "青海", "宁夏", "新疆", "西藏", "内蒙古")
 ZH_CITIES = ("苏州", "杭州", "南京", "广州", "深圳", "武汉", "成都", "西安", "长沙", "郑州", "青岛", "厦门", "宁波", "无锡", "佛山", "东莞", "合肥", "济南")
 ZH_PLATES = "京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼"

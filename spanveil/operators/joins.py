@@ -64,16 +64,21 @@ def band_boost(values: DataFrame, boosters: DataFrame, key: str, near: int = 3,
 
 
 def densest_window(values: DataFrame, keys: list[str], x: str, span: int) -> DataFrame:
-    """(keys, lo, members): the window of width ``span`` that starts at a value and holds most values; least variance, then least start, on ties."""
-    w = Window.partitionBy(*keys).orderBy(x).rangeBetween(0, span)
-    rows = values.select(*keys, F.col(x).alias("lo"), F.count("*").over(w).alias("members"), F.var_pop(x).over(w).alias("var"))
-    best = rows.groupBy(*keys).agg(F.max(F.struct("members", (-F.round("var", 9)).alias("v"), (-F.col("lo")).alias("l"))).alias("b"))
+    """(keys, lo, members): the window of width ``span`` that starts at a value and holds most values; least variance, then least start, on ties.
+    Equal values are counted first, so a window's task holds the distinct values of a key, which are whole numbers."""
+    v = values.groupBy(*keys, F.col(x).cast("long").alias("lo")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("lo").rangeBetween(0, span)
+    total = lambda c: F.sum(c).over(w)
+    d = F.col("lo").cast("decimal(38,0)")
+    rows = v.select(*keys, "lo", total("n").alias("members"), total(F.col("n") * d).alias("s1"), total(F.col("n") * d * d).alias("s2"))
+    var = ((F.col("members") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")) / (F.col("members") * F.col("members"))
+    best = rows.withColumn("v", -F.round(var, 9)).groupBy(*keys).agg(F.max(F.struct("members", "v", (-F.col("lo")).alias("l"))).alias("b"))
     return best.select(*keys, (-F.col("b.l")).alias("lo"), F.col("b.members").alias("members"))
 
 
 def longest_chain(values: DataFrame, keys: list[str], x: str, low: int, high: int) -> DataFrame:
-    """(keys, start, links): the longest run of consecutive values whose gaps lie between ``low`` and ``high``; the earliest on ties."""
-    rows = values.select(*keys, F.col(x).alias("x")).withColumn("_new", F.when((F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("x"))).between(low, high), 0).otherwise(1))
+    """(keys, start, links): the longest run of consecutive distinct values whose gaps lie between ``low`` and ``high``; the earliest on ties."""
+    rows = values.select(*keys, F.col(x).alias("x")).distinct().withColumn("_new", F.when((F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("x"))).between(low, high), 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(Window.partitionBy(*keys).orderBy("x")))
     runs = rows.groupBy(*keys, "_run").agg(F.min("x").alias("start"), F.count("*").alias("links"))
     best = runs.groupBy(*keys).agg(F.max(F.struct("links", (-F.col("start")).alias("s"))).alias("b"))
