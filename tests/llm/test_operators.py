@@ -631,3 +631,58 @@ def test_near_dedup_stage_loses_no_text(spark):
     docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (9, None, 5)], "doc_id long, text string, `a.b` int")
     out = pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns and sorted((r["doc_id"], r["a.b"]) for r in out.collect()) == [(3, 1), (5, 3), (9, 5)]
+
+
+# Awkward rows for every operator and stage
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null doc_ids, a doc_id with two texts of one length, rows that repeat, null in every column, and a column with a dot in its name."""
+    a, b, _, _ = two_texts(77)
+    rows = [(None, a, "s1", 1), (None, text_of(5, 70), "s1", 2), (7, a, "s1", 3), (7, b, "s2", 4), (8, b, None, 5), (9, None, None, None), (9, None, None, None), (None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int")
+
+
+def test_operators_take_awkward_rows(spark, odd):
+    n = odd.count()
+    ids = sorted(str(r["doc_id"]) for r in odd.collect())
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
+    outputs = {
+        "op1": neardup.near_duplicates(odd),
+        "op2": media.media_columns(odd),
+        "op3": quality_rules(odd, order=["symbols", "word_length", "dup_lines", "letters", "bullets", "all_caps"]),
+        "op4": toxicity.score_toxicity(odd, labels),
+        "op5": mixing.mix_sources(odd),
+        "op6": sharding.shard_rows(odd, 3),
+        "op7": licenses.by_document(licenses.scan_licenses(odd)),
+        "op8": linededup.line_dedup(odd, min_docs=2),
+    }
+    for name, out in outputs.items():
+        got = out.collect()
+        assert len(got) == n and sorted(str(r["doc_id"]) for r in got) == ids, name
+        if name == "op1":
+            assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (7, 7), (8, 7), (9, 9)}
+        if name == "op8":  # both rows of text a lose their line, and both of b
+            assert sorted(r["n_dropped"] for r in got) == [0] * 4 + [1] * 4
+    seg = segment.sample_segmentations(odd, k=1).collect()
+    assert sorted(str(r["doc_id"]) for r in seg) == ids and all(r["exact"] for r in seg)
+
+
+def test_every_row_is_a_document_of_its_own_for_lines(spark):
+    df = spark.createDataFrame([(i % 2, f"own {i}\ncommon") for i in range(11)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in linededup.line_dedup(df).collect()] == [1] * 11
+
+
+def test_stages_take_awkward_rows(spark, odd, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    columns = odd.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == columns, name
+        out.collect()
+        assert stage(spark, odd.where("false"), "").count() == 0
+    assert pipeline.near_dedup(spark, odd, "").where("text is null").count() == 3
+    assert sorted(r["a.b"] for r in pipeline.near_dedup(spark, odd, "").where("text is not null").collect()) == [2, 3, 4]
+    assert pipeline.encode(spark, odd.drop("a.b"), "").select("doc_id", "pass").distinct().count() > 4
