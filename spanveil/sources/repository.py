@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,3 +152,41 @@ def ingest_name(value):
     t = F.trim(F.regexp_replace(value, r"\s+", " "))
     latin = t.rlike("[A-Za-z]")
     return F.struct(t.alias("full"), F.when(latin & t.contains(" "), F.regexp_extract(t, "([^ ]+)$", 1)).when(~latin, F.substring(t, 1, 1)).alias("family"), F.when(latin, F.regexp_extract(t, "^([^ ]+)", 1)).otherwise(F.substring(t, 2, 10)).alias("given"))
+
+
+def address_slots(rows: DataFrame) -> DataFrame:
+    """(persona_id, slot_no, components, road): a persona's addresses whole, those alone that are precise enough to be looked up: a part below the
+    district, or two levels above."""
+    from spanveil.operators.entities import LEVEL_OF
+
+    parts = rows.where("attr_type = 'address'").groupBy("persona_id", "slot_no", "component").agg(F.min("value").alias("value"))
+    whole = parts.groupBy("persona_id", "slot_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("component", "value")))).alias("components"))
+    levels = F.create_map(*[F.lit(x) for pair in LEVEL_OF.items() for x in pair])
+    kinds = F.array_distinct(F.filter(F.transform(F.map_keys("components"), lambda k: F.try_element_at(levels, k)), lambda x: x.isNotNull()))
+    return whole.where(F.arrays_overlap(kinds, F.array(F.lit("ROAD"), F.lit("DTL"))) | (F.size(kinds) >= 2)).withColumn("road", _road(F.col("components")))
+
+
+def _road(components):
+    return F.coalesce(F.lower(F.regexp_replace(F.try_element_at(components, F.lit("road")), r"[^\p{L}\p{N}]", "")), F.lit(""))
+
+
+def with_personas(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """``records`` (attr_type, canonical, components, ...) with ``persona_id``: the first persona, by id, that has the value. Canonical forms decide; an address is
+    compared, by parts, with those of the same road first and then with those without one, so no pair of unlike roads is made."""
+    from spanveil.functions.normalize import canonical
+    from spanveil.operators.entities import same_address
+    from spanveil.operators.placeholders import same_keys
+
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_address(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)])
+
+    plain = rows.where(F.col("component").isin("value", "full") & (F.col("attr_type") != "address"))
+    known = plain.withColumn("canonical", canonical(F.col("attr_type"), F.col("value"))).where("canonical <> ''").groupBy("attr_type", "canonical").agg(F.min("persona_id").alias("_by_value"))
+    places = address_slots(rows)
+    asked = records.where("attr_type = 'address' and size(components) > 0").select("components").withColumn("_json", F.to_json("components")).dropDuplicates(["_json"]).withColumn("_road", _road(F.col("components")))
+    pairs = asked.select("_json", F.explode(F.array_distinct(F.array("_road", F.lit("")))).alias("road")).join(places.select("persona_id", "road", F.to_json("components").alias("_own")), "road")
+    hits = pairs.where(same(F.col("_json"), F.col("_own"))).groupBy("_json").agg(F.min(F.struct((F.col("road") == "").alias("late"), "persona_id")).alias("_hit"))
+    out = same_keys(records, known, ["attr_type", "canonical"], "left").withColumn("_json", F.to_json("components"))
+    out = same_keys(out, hits, ["_json"], "left")
+    return out.withColumn("persona_id", F.when(F.col("attr_type") == "address", F.col("_hit.persona_id")).otherwise(F.col("_by_value"))).drop("_by_value", "_hit", "_json")

@@ -90,6 +90,15 @@ def test_personas_are_a_dictionary(spark, tmp_path):
         repository.validated(slots.withColumn("strength", F.lit("odd"))).collect()
 
 
+def test_records_know_their_persona(spark):
+    slots = [("p2", "email", 0, "value", "A@x.org"), ("p1", "email", 0, "value", "a@x.org"), ("p1", "address", 0, "road", "Oak St"), ("p1", "address", 0, "number", "12"), ("p1", "address", 0, "city", "Miami"), ("p3", "address", 0, "city", "Miami"), ("p2", "address", 1, "city", "Boston"), ("p2", "address", 1, "province", "MA")]
+    slots = spark.createDataFrame([(*x, [], "hard") for x in slots], "persona_id string, attr_type string, slot_no int, component string, value string, aliases array<string>, strength string")
+    assert {r["persona_id"] for r in repository.address_slots(slots).collect()} == {"p1", "p2"}  # a city alone isn't enough
+    rows = [(1, "email", "a@x.org", None), (2, "email", None, None), (3, "address", "x", {"road": "Oak St", "number": "12"}), (4, "address", "x", {"road": "Elm St", "number": "12"}), (5, "address", "x", {"city": "Boston", "province": "MA"}), (6, "address", "x", None)]
+    got = repository.with_personas(spark.createDataFrame(rows, "k int, attr_type string, canonical string, components map<string,string>"), slots)
+    assert {r["k"]: r["persona_id"] for r in got.collect()} == {1: "p1", 2: None, 3: "p1", 4: None, 5: "p2", 6: None}
+
+
 # Clues
 
 
