@@ -81,10 +81,13 @@ def hard_spans(df: DataFrame, text: str = "text", out: str = "hard") -> DataFram
     names = df.columns
     df = df.withColumn("plain_text", plain(F.col(text))).withColumn("_scan", normal(F.col(text)))
     df = df.withColumn("_any", F.col("_scan").rlike(ANY)).withColumn("_not", F.when(F.col("_any"), find_spans(F.col("_scan"), NOT_PRIVATE)).otherwise(F.array().cast(NO_SPANS)))
-    df = df.withColumn("_h0", F.array().cast(HARD))
-    for k, (group, kind, pattern) in enumerate(PATTERNS):
+    # All patterns at once, then one exclusion after another: few steps, since each is a plan of its own to be analyzed.
+    scans = {}
+    for k, (_, kind, pattern) in enumerate(PATTERNS):
         may = reduce(lambda a, b: a | b, [F.contains("_scan", F.lit(x)) for x in HOLDS[kind]]) if kind in HOLDS else F.lit(True)
-        df = df.withColumn(f"_f{k}", F.when(F.col("_any") & may, find_spans(F.col("_scan"), pattern)).otherwise(F.array().cast(NO_SPANS)))
+        scans[f"_f{k}"] = F.when(F.col("_any") & may, find_spans(F.col("_scan"), pattern)).otherwise(F.array().cast(NO_SPANS))
+    df = df.withColumns(scans).withColumn("_h0", F.array().cast(HARD))
+    for k, (group, kind, _) in enumerate(PATTERNS):
         found = F.col(f"_f{k}")
         if group == "alnum":
             found = F.filter(found, lambda x: x["text"].rlike("[A-Za-z]") & ~F.lower(x["text"]).isin(*COUNTRY_CODES))
@@ -135,7 +138,7 @@ def _nearest(x: Column) -> Column:
 def _staged(rows: DataFrame, context: bool) -> tuple[DataFrame, tuple[str, ...]]:
     """``rows`` with ``_c``: structured spans with all that is known of them."""
 
-    def stage(name: str, source: str, have: tuple[str, ...], *new) -> Column:
+    def stage(source: str, have: tuple[str, ...], *new) -> Column:
         return F.transform(source, lambda x: F.struct(*[x[n].alias(n) for n in have], *[f(x).alias(n) for n, f in new]))
 
     found = find_spans(F.col("_scan"), LABEL)
@@ -147,25 +150,36 @@ def _staged(rows: DataFrame, context: bool) -> tuple[DataFrame, tuple[str, ...]]
     between = lambda most: rf"^(?>{UNIT}){{0,{most - 1}}}+$"
     sure = lambda c: F.coalesce(c, F.lit(False))
     generic = lambda x: F.when(x["fragment"] == "NUM", "num").otherwise("alnum")
-    steps = (
-        ("fragment", lambda x: F.when(x["grp"].isin("phone", "num"), "NUM").when(x["grp"] == "alnum", "ALNUM")),
-        ("region", lambda x: F.when(x["kind"].startswith("cn_"), "cn").when(x["kind"].startswith("us_"), "us")),
-        ("digits", lambda x: validators.phone_digits(validators.only_digits(x["text"]), x["region"], x["kind"])),
-        ("check_name", lambda x: validators.route(x["digits"], x["text"], x["fragment"], x["region"])),
-        ("_label", lambda x: F.when(F.size("_labels") > 0, _nearest(x))),
-        ("_gap", lambda x: F.when(x["_label"].isNotNull(), F.substring("plain_text", x["_label"]["e"] + 1, x["s"] - x["_label"]["e"]))),
-        ("in_context", lambda x: sure(x["_gap"].rlike(between(CONTEXT_UNITS)) & ~F.contains(x["_gap"], F.lit(OCR_BREAK)))),
-        ("label_type", lambda x: F.when(x["in_context"] & x["_gap"].rlike(between(BIND_UNITS)), F.try_element_at(kinds, F.lower(x["_label"]["text"])))),
-        ("_checked", lambda x: validators.attr_of(x["check_name"])),
-        ("mismatch", lambda x: sure(x["_checked"].isNotNull() & (x["label_type"] != x["_checked"]))),
-        ("attr_type", lambda x: F.coalesce(F.when(~x["mismatch"], x["_checked"]), F.when(x["grp"].isin("email", "time", "amount"), x["grp"]).otherwise(generic(x)))),
-        ("canonical", lambda x: normalize.canonical(x["attr_type"], x["text"])),
-        ("emitted", lambda x: validators.passes_gate(x["attr_type"], x["text"], x["in_context"] | F.lit(context))),
+    # Fields of one group don't read each other.
+    groups = (
+        (
+            ("fragment", lambda x: F.when(x["grp"].isin("phone", "num"), "NUM").when(x["grp"] == "alnum", "ALNUM")),
+            ("region", lambda x: F.when(x["kind"].startswith("cn_"), "cn").when(x["kind"].startswith("us_"), "us")),
+            ("_label", lambda x: F.when(F.size("_labels") > 0, _nearest(x))),
+        ),
+        (
+            ("digits", lambda x: validators.phone_digits(validators.only_digits(x["text"]), x["region"], x["kind"])),
+            ("_gap", lambda x: F.when(x["_label"].isNotNull(), F.substring("plain_text", x["_label"]["e"] + 1, x["s"] - x["_label"]["e"]))),
+        ),
+        (
+            ("check_name", lambda x: validators.route(x["digits"], x["text"], x["fragment"], x["region"])),
+            ("in_context", lambda x: sure(x["_gap"].rlike(between(CONTEXT_UNITS)) & ~F.contains(x["_gap"], F.lit(OCR_BREAK)))),
+        ),
+        (
+            ("label_type", lambda x: F.when(x["in_context"] & x["_gap"].rlike(between(BIND_UNITS)), F.try_element_at(kinds, F.lower(x["_label"]["text"])))),
+            ("_checked", lambda x: validators.attr_of(x["check_name"])),
+        ),
+        (("mismatch", lambda x: sure(x["_checked"].isNotNull() & (x["label_type"] != x["_checked"]))),),
+        (("attr_type", lambda x: F.coalesce(F.when(~x["mismatch"], x["_checked"]), F.when(x["grp"].isin("email", "time", "amount"), x["grp"]).otherwise(generic(x)))),),
+        (
+            ("canonical", lambda x: normalize.canonical(x["attr_type"], x["text"])),
+            ("emitted", lambda x: validators.passes_gate(x["attr_type"], x["text"], x["in_context"] | F.lit(context))),
+        ),
     )
     rows = rows.withColumn("_c", raw)
-    for name, f in steps:
-        rows = rows.withColumn("_c", stage(name, "_c", have, (name, f)))
-        have = (*have, name)
+    for group in groups:
+        rows = rows.withColumn("_c", stage("_c", have, *group))
+        have = (*have, *[name for name, _ in group])
     return rows, have
 
 
