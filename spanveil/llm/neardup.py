@@ -284,8 +284,12 @@ def connected(edges: DataFrame) -> DataFrame:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
             total2 = saved(total.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
             forget(total)
+            forget(up)
             total = total2
-    return total if total is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if total is None:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    forget(e)
+    return total
 
 
 class _Links:
@@ -421,7 +425,7 @@ def _placed(sketch: DataFrame, classes: DataFrame, comp: DataFrame | None) -> Da
     return sketch.select("doc_id", "tprint", "n_shingles", "print").join(tops, "print", "left")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 512) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text, ...).
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id),
@@ -447,7 +451,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_copies(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 128) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, rounds: tuple[int, ...] = (4, 12, BANDS), block: int = 512) -> DataFrame:
     """doc_id, tprint (xxhash64 of the text), n_shingles and kept of each row of ``docs`` (doc_id, text, ...), judged text by text: of
     the rows whose texts are linked, those that are first by (doc_id, text) are kept, a null doc_id after all others. A doc_id with
     two unlike texts may keep one and lose the other. Rows that repeat both are alike: all or none are kept. Null and
@@ -476,7 +480,7 @@ def first_of_group(docs: DataFrame, **params) -> DataFrame:
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
-#: Most shingles that a block's members, and its outliers, have on average.
+#: Most shingles that a block's members, and its outliers, have on average: with short texts a block is bounded by its rows, with long ones by this.
 BLOCK_SHINGLES = 1 << 21
 
 
