@@ -26,7 +26,8 @@ def targets(sizes: DataFrame, share: tuple[int, int], weights: tuple[int, ...],
     """(source, source_size, target) from (source, source_size): sources by code point, null last, have the weights in
     turn and share ``share`` (a ratio) of all sizes; a target stops at ``most`` times its source's size and the excess goes
     to the others by weight. That is target = min(most * size, level * weight) with one level for all, found where the
-    prefix sums over ascending size/weight first leave a level that the next source can take. One row a source."""
+    prefix sums over ascending size/weight first leave a level that the next source can take. One row a source: these windows have no
+    partition, so all sources meet in one task, some 100 bytes each."""
     rank = Window.orderBy(F.col("source").isNull(), F.col("source"))
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
     s = sizes.withColumn("w", turn.cast("long"))
