@@ -32,6 +32,8 @@ MIX, TABLE_BITS = np.uint64(0xBF58476D1CE4E5B9), 19
 SHIFT = np.uint64(64 - TABLE_BITS)
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose lattices are in memory at once, some 130 times as much; one text is never cut.
+PIECE_BYTES = 512 << 10
 #: What a byte of an uncovered character adds to the log-probability of the rarest piece.
 BYTE_PENALTY = -10.0
 SPACE = "▁"
@@ -370,6 +372,31 @@ def numbered_repeats(docs: DataFrame, name: str = "pass") -> DataFrame:
     return docs.withColumn(name, F.row_number().over(alike) - 1)
 
 
+def segment_batches(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, k: int, alpha: float, seed: int, digest: bool, repeat: str | None) -> Iterator[pa.RecordBatch]:
+    """The rows that sample_segmentations() returns for batches of (doc_id, text, repeat)."""
+    import hashlib
+
+    for batch in pieces(batches, "text", PIECE_BYTES):
+        keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+        if repeat:
+            keys = [(x, n) if n else x for x, n in zip(keys, batch.column(repeat).to_pylist(), strict=True)]
+        found = sample_texts(texts, [row_seed(x, seed) for x in keys], vocab, k, alpha)
+        at, rows = [], []
+        for i, (text, samples) in enumerate(zip(texts, found, strict=True)):
+            raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+            for rank, (ids, lp, inclusion) in enumerate(samples, 1):
+                at.append(i)
+                exact = b"".join(map(vocab.raw.__getitem__, ids.tolist())) == raw
+                x = ids.astype("<i4")
+                rows.append((rank, len(ids), hashlib.sha256(x.tobytes()).hexdigest() if digest else x, lp, inclusion, exact))
+        col = lambda c, t: pa.array([r[c] for r in rows], t)  # noqa: B023, E731
+        kept = [c for c in ("doc_id", repeat) if c]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(pa.array(at, pa.int64())) for c in kept], col(0, pa.int32()), col(1, pa.int64()), col(2, pa.string() if digest else pa.list_(pa.int32())), col(3, pa.float64()), col(4, pa.float64()), col(5, pa.bool_())],
+            [*kept, "sample", "n_pieces", "ids_sha256" if digest else "ids", "log_prob", "inclusion", "exact"],
+        )
+
+
 def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 17, vocabulary: str = VOCABULARY, digest: bool = False, repeat: str | None = None) -> DataFrame:
     """Up to ``k`` rows for each row of ``docs`` (doc_id, text, ...): doc_id, sample (1 for the best perturbed value), n_pieces,
     ids, log_prob, inclusion, exact (the ids decode to the whole text). With ``digest``, ids_sha256 (of little-endian
@@ -379,32 +406,11 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
     and repeated rows the same ones; a null doc_id is a key too. ``repeat`` names a column of numbers that join doc_id in the
     seed (0 adds nothing) and the result, so that rows which repeat a doc_id get samples of their own. Texts that hold the space mark keep it, as bytes. Empty
     input gives an empty result. Other columns are ignored."""
-    import hashlib
-
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        for batch in pieces(batches, "text", 2 << 20):
-            keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            if repeat:
-                keys = [(x, n) if n else x for x, n in zip(keys, batch.column(repeat).to_pylist(), strict=True)]
-            found = sample_texts(texts, [row_seed(x, seed) for x in keys], vocab, k, alpha)
-            at, rows = [], []
-            for i, (text, samples) in enumerate(zip(texts, found, strict=True)):
-                raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
-                for rank, (ids, lp, inclusion) in enumerate(samples, 1):
-                    at.append(i)
-                    exact = b"".join(map(vocab.raw.__getitem__, ids.tolist())) == raw
-                    x = ids.astype("<i4")
-                    rows.append((rank, len(ids), hashlib.sha256(x.tobytes()).hexdigest() if digest else x, lp, inclusion, exact))
-            col = lambda c, t: pa.array([r[c] for r in rows], t)  # noqa: B023, E731
-            kept = [c for c in ("doc_id", repeat) if c]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(pa.array(at, pa.int64())) for c in kept], col(0, pa.int32()), col(1, pa.int64()), col(2, pa.string() if digest else pa.list_(pa.int32())), col(3, pa.float64()), col(4, pa.float64()), col(5, pa.bool_())],
-                [*kept, "sample", "n_pieces", "ids_sha256" if digest else "ids", "log_prob", "inclusion", "exact"],
-            )
+        return segment_batches(batches, shared.value, k, alpha, seed, digest, repeat)
 
     ids = "ids_sha256 string" if digest else "ids array<int>"
     more = f", `{repeat}` {dict(docs.dtypes)[repeat]}" if repeat else ""

@@ -516,6 +516,24 @@ def test_encoding_round_trip(docs, empty):
     assert segment.sample_segmentations(empty).count() == 0
 
 
+def test_segmentation_memory_does_not_follow_the_batch(vocab):
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(1500)) for _ in range(320)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert batch.nbytes > 2 << 20
+    tracemalloc.start()
+    n = sum(b.num_rows for b in segment.segment_batches(iter([batch]), vocab, 2, 1.0, 17, True, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * len(texts)
+    assert peak < 160 << 20
+
+
 # Pipeline
 
 
